@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, merkle, simhash
+from . import html, merkle, pieces, simhash
 from .common import table
 
 
@@ -18,12 +18,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: Where this box has the public vocabulary; read on the driver only.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_simhash_near_dedup, op9_document_fingerprints]
+    found = [
+        op1_html_extraction,
+        op2_simhash_near_dedup,
+        op7_sentencepiece,
+        op9_document_fingerprints,
+    ]
     return {f.__name__: f for f in found}
 
 
