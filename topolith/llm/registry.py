@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, merkle, pieces, simhash
+from . import html, merkle, pieces, pii, quality, simhash
 from .common import table
 
 
@@ -18,6 +18,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+#: The key of pseudonyms; a deployment passes its own secret.
+PII_KEY = "topolith-example-key"
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 #: Where this box has the public vocabulary; read on the driver only.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -34,6 +47,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_html_extraction,
         op2_simhash_near_dedup,
+        op4_quality_classifier,
+        op6_pii,
         op7_sentencepiece,
         op9_document_fingerprints,
     ]
