@@ -15,6 +15,7 @@ score beyond rounding and keeps what travels to executors small and constant.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,7 +58,7 @@ class Features:
 
     def __init__(self, s: Settings):
         self.s = s
-        self._powers(self.STEP + 2)
+        self._powers(1 << 14)
         self.shift = np.uint64(64 - s.bits)
         self.repeat_at = 0  # buckets 0 and 1 hold the marks of repetition
         self.earlier_at = 1
@@ -89,8 +90,8 @@ class Features:
     def _part(self, words: list[bytes], seen: list[np.ndarray]) -> tuple[np.ndarray, int, int]:
         line = b" " + b" ".join(words) + b" "
         a = np.frombuffer(line, np.uint8)
-        if len(a) > len(self.up):  # a word longer than a step
-            self._powers(len(a))
+        if len(a) > len(self.up):
+            self._powers(max(len(a), 2 * len(self.up)))
         gaps = np.flatnonzero(a == 32)
         wide = a.astype(np.uint64) + np.uint64(1)
         with np.errstate(over="ignore"):
@@ -235,6 +236,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     @F.arrow_udf("double")
     def scored(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        gc.collect()  # what earlier tasks of this worker left in cycles
         one = shared.value.scorer()
         for texts in it:
             yield pa.array([one(t) for t in to_bytes(texts)], pa.float64())
