@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, merkle, pieces, pii, quality, simhash
+from . import decontaminate, html, merkle, pieces, pii, quality, simhash, suffixes
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_benchmark_decontamination,
         op6_pii,
         op7_sentencepiece,
+        op8_suffix_array_dedup,
         op9_document_fingerprints,
     ]
     return {f.__name__: f for f in found}
