@@ -22,7 +22,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -189,10 +189,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents left when one of each component stays: that of the smallest id.
 
-    All columns come back. Of several rows with that id, and of rows of a
-    component without any id, one stays (the smallest text first).
+    All columns come back. Of several rows of one id one stays, the one of the
+    smallest text; an id goes if one of its rows lies in a component of a
+    smaller id. Rows without an id stay only where a component has none with
+    one, and then one of each component (the smallest fingerprint and text).
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    heads = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_head")).distinct()
-    kept = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    kept = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
+    kept = _first(kept, [id_col], [text_col])
+    nameless = docs.where(F.col(id_col).isNull())
+    if nameless.isEmpty():
+        return kept
+    # fingerprints of components without any id; a fingerprint stands for its rows
+    bare = found.where(F.col("component_id").isNull()).select("fp").distinct()
+    group = connected_components(tile_links(bare, options.get("radius", 2))).select(F.col("node").alias("fp"), "component")
+    heads = stored(bare.join(group, "fp", "left").where(F.coalesce("component", "fp") == F.col("fp")).select(F.col("fp").alias("_fp")))
+    marked = nameless.withColumn("_fp", _fingerprint_of(options.get("shingle", 3))(text_or_empty(text_col)))
+    return kept.unionByName(_first(marked.join(heads, "_fp", "left_semi"), ["_fp"], [text_col]).drop("_fp"))
+
+
+def _fingerprint_of(shingle: int):
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash(x, shingle) for x in to_bytes(texts)], dtype=np.uint64).view(np.int64))
+
+    return of
+
+
+def _first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    mark = "_row"
+    while mark in df.columns:
+        mark += "_"
+    return df.withColumn(mark, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(mark) == 1).drop(mark)
