@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, html, merkle, pieces, pii, quality, simhash, suffixes
+from . import decontaminate, html, licenses, merkle, pieces, pii, quality, simhash, suffixes
 from .common import table
 from .settings import PIECE_MODEL, PII_KEY
 
@@ -46,6 +46,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_html_extraction,
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_sentencepiece,
         op8_suffix_array_dedup,
         op9_document_fingerprints,
+        op10_license_scan,
     ]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ LENGTH, SEED = 50, 16
 #: Text bytes in a group of documents, about; groups and buckets grow in number with the input.
 GROUP = 4 << 20
 #: Text bytes whose anchors a task gathers before it sends them on.
-GATHER = 24 << 20
+GATHER = 16 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _LAST = np.iinfo(np.int64).max
@@ -70,14 +71,14 @@ class Anchors:
 
     def __init__(self, texts: list[bytes], length: int = LENGTH):
         parts = []
-        for k, group in _chunks(texts, length):
-            parts.append(self._of(group, k, length))
+        for group in _chunks(texts, length):
+            parts.append(self._of(group, length))
         none = np.zeros(0, np.int64)
         cat = lambda i, kind=np.int64: np.concatenate([p[i] for p in parts]) if parts else none.astype(kind)
         self.text, self.place, self.first, self.last = (cat(i) for i in range(4))
         self.hash = cat(4, np.uint64)
 
-    def _of(self, group: list[tuple[int, int, bytes]], k: int, length: int):
+    def _of(self, group: list[tuple[int, int, bytes]], length: int):
         buffer = b"".join(t for _, _, t in group)
         sizes = np.array([len(t) for _, _, t in group])
         starts = np.cumsum(sizes) - sizes
@@ -103,10 +104,14 @@ class Anchors:
         first = window[at] + shift[row]
         last = window[np.append(at[1:], len(window)) - 1] + shift[row] if len(at) else first
         text = np.array([i for i, _, _ in group], np.int64)[row]
-        return text, owner[at] + shift[row], first, last, h[owner[at]]
+        h = h[owner[at]]  # least hashes crowd at the low end; mixed again, they spread evenly over buckets
+        with np.errstate(over="ignore"):
+            h = (h ^ (h >> np.uint64(31))) * _B
+            h = (h ^ (h >> np.uint64(29))) * _C
+        return text, owner[at] + shift[row], first, last, h
 
 
-def _chunks(texts: list[bytes], length: int, limit: int = 8 << 20) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+def _chunks(texts: list[bytes], length: int, limit: int = 1 << 20) -> Iterator[list[tuple[int, int, bytes]]]:
     """Texts with their places, in groups of bounded size; long texts in overlapping pieces."""
     group: list[tuple[int, int, bytes]] = []
     held = 0
@@ -116,12 +121,12 @@ def _chunks(texts: list[bytes], length: int, limit: int = 8 << 20) -> Iterator[t
             if len(piece) < length:
                 continue
             if group and held + len(piece) > limit:
-                yield i, group
+                yield group
                 group, held = [], 0
             group.append((i, begin, piece))
             held += len(piece)
     if group:
-        yield len(texts), group
+        yield group
 
 
 # deep-shallow sorting
@@ -370,10 +375,10 @@ def _gather(length: int, buckets: int):
     def send(parts: list[tuple]) -> pa.RecordBatch:
         h, rows, place, ords, marks = [], [], [], [], []
         base = 0
-        for found, o, t in parts:
-            h.append(found.hash)
-            rows.append(found.text + base)
-            place.append(found.place.astype(np.uint32))
+        for found_h, found_text, found_place, o, t in parts:
+            h.append(found_h)
+            rows.append(found_text + base)
+            place.append(found_place)
             ords.append(o)
             marks.append(t)
             base += len(o)
@@ -399,9 +404,11 @@ def _gather(length: int, buckets: int):
         gc.collect()
         parts: list[tuple] = []
         held = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             texts = to_bytes(batch.column("text"))
-            parts.append((Anchors(texts, length), batch.column("ord").to_numpy(), tags(texts)))
+            found = Anchors(texts, length)
+            parts.append((found.hash, found.text.astype(np.int32), found.place.astype(np.uint32), batch.column("ord").to_numpy(), tags(texts)))
+            del found
             held += sum(map(len, texts))
             if held >= GATHER:
                 yield send(parts)
@@ -472,7 +479,7 @@ def _surroundings(length: int, buckets: int):
             bytes_ = texts[t][f : l + length]
             around.append(bytes_)
             settled[k] = seen.setdefault((bytes_, p - f), names[t][0]) != names[t][0]  # texts come by id
-        out = []
+        out, press = [], zstandard.ZstdCompressor(level=1).compress
         if settled.any():
             out = docs.by_group(buckets, text[settled], first[settled].astype(np.uint32), (last[settled] + length).astype(np.uint32), shift=buckets)
         go = np.flatnonzero(~settled)
@@ -482,7 +489,7 @@ def _surroundings(length: int, buckets: int):
         for x, y in _stretches(bucket):
             mine = go[x:y]
             small = np.concatenate((place[mine] - first[mine], last[mine] - first[mine])).astype(np.uint8)
-            out.append((int(bucket[x]), None, None, *docs.pack(text[mine]), first[mine].astype(np.uint32).tobytes(), small.tobytes(), b"".join(around[k] for k in mine.tolist())))
+            out.append((int(bucket[x]), None, None, *docs.pack(text[mine]), first[mine].astype(np.uint32).tobytes(), small.tobytes(), press(b"".join(around[k] for k in mine.tolist()))))
         return _table(out)
 
     return run
@@ -500,7 +507,7 @@ def _removals(length: int, buckets: int):
         small = [np.frombuffer(r["c"], np.uint8).astype(np.int64) for r in packed]
         offset = np.concatenate([x[: len(x) // 2] for x in small])
         size = np.concatenate([x[len(x) // 2 :] for x in small]) + length
-        buffer = np.frombuffer(b"".join(r["d"] for r in packed), np.uint8)
+        buffer = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["d"]) for r in packed), np.uint8)
         gone = repeated_windows(buffer, np.cumsum(size) - size, size, offset, docs.ord[rows], length)
         # windows one after the other make one stretch; column l begins l bytes before the anchor
         steps = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -589,28 +596,25 @@ def remove_repeated(
         raise ValueError(f"length must be above {SEED} and at most {255 + SEED}")
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
-    hashed = base.select("ord", F.xxhash64("text").alias("tag"), F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("size"))
-    same = Stored(hashed.groupBy("h", "tag").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.sum("size").alias("size")))
-    total = same.df.agg(F.sum("size")).first()[0] or 0
+    hashed = base.select("ord", F.xxhash64("text").alias("tag"), F.unhex(F.sha2("text", 256)).alias("h"))
+    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP))
 
     key = F.pmod(F.col("ord"), F.lit(groups)).cast("int").alias("key")
     blank = [F.lit(None).cast("binary").alias(n) for n in _NAMES[3:]]
-    several = same.df.where("least <> most").select("h", "least")
+    several = hashed.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least <> most").select("h", "least")
     copies = Stored(hashed.join(several, "h").where("ord > least").select(key, "ord", "tag", *blank).distinct())
 
     long_enough = base.where(F.octet_length("text") >= length)
-    places = Stored(long_enough.select("ord", "text").mapInArrow(_gather(length, groups), _BLOBS).groupBy("key").applyInArrow(_repeated(groups), _BLOBS))
+    places = long_enough.select("ord", "text").mapInArrow(_gather(length, groups), _BLOBS).groupBy("key").applyInArrow(_repeated(groups), _BLOBS)
     around = (
         long_enough.select("ord", "text", key)
         .groupBy("key")
-        .cogroup(places.df.unionByName(copies.df).groupBy("key"))
+        .cogroup(places.unionByName(copies.df).groupBy("key"))
         .applyInArrow(_surroundings(length, groups), _BLOBS)
     )
     stretches = Stored(around.groupBy("key").applyInArrow(_removals(length, groups), _BLOBS))
-    del around
-    places.drop()
-    same.drop()
+    del around, places, hashed, several, long_enough
     _free(docs)
     schema = f"id {kind}, " + ", ".join(f"{n} {_OUT[n][0]}" for n in outputs)
     return (
