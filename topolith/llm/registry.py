@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, html, licenses, merkle, pieces, pii, quality, simhash, suffixes
+from . import chains, decontaminate, html, licenses, merkle, pieces, pii, quality, simhash, suffixes
 from .common import table
 from .settings import PIECE_MODEL, PII_KEY
 
@@ -21,6 +21,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.duplicate_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_html_extraction,
         op2_simhash_near_dedup,
+        op3_substring_dedup,
         op4_quality_classifier,
         op5_benchmark_decontamination,
         op6_pii,
