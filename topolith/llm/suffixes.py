@@ -36,13 +36,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.materialize import Stored
+from ..operators.materialize import stored
 from .common import slices, text_or_empty, to_bytes
 
 #: Bytes of a window, and of the strings that anchors are chosen from.
 LENGTH, SEED = 50, 16
-#: Text bytes in a group of documents, about; groups and buckets grow in number with the input.
-GROUP = 4 << 20
+#: Text bytes in a group of documents and for a bucket of anchors, about; both grow in number with the input.
+GROUP, BUCKET = 4 << 20, 16 << 20
 #: Text bytes whose anchors a task gathers before it sends them on.
 GATHER = 16 << 20
 
@@ -304,17 +304,17 @@ class Documents:
         with np.errstate(over="ignore"):
             steps = np.diff(self.ord[known].view(np.uint64), prepend=np.uint64(0))
         narrow = np.uint16 if len(known) <= 1 << 16 else np.uint32
-        return steps.tobytes() + self.tag[known].tobytes(), rows.astype(narrow).tobytes()
+        return steps.tobytes() + self.tag[known].astype(np.uint32).tobytes(), rows.astype(narrow).tobytes()
 
     @staticmethod
     def unpack(table: list[dict]) -> tuple[Documents, np.ndarray]:
         """All documents of packed rows, and all rows' numbers among them."""
         ords, tags, rows, base = [], [], [], 0
         for r in table:
-            n = len(r["docs"]) // 16
+            n = len(r["docs"]) // 12
             with np.errstate(over="ignore"):
                 ords.append(np.cumsum(np.frombuffer(r["docs"], np.uint64, n), dtype=np.uint64).view(np.int64))
-            tags.append(np.frombuffer(r["docs"], np.int64, n, 8 * n))
+            tags.append(np.frombuffer(r["docs"], np.uint32, n, 8 * n).astype(np.int64))
             rows.append(np.frombuffer(r["a"], np.uint16 if n <= 1 << 16 else np.uint32).astype(np.int64) + base)
             base += n
         return Documents(np.concatenate(ords), np.concatenate(tags)), np.concatenate(rows)
@@ -332,8 +332,8 @@ class Documents:
 
 
 def tags(texts: list[bytes]) -> np.ndarray:
-    """What SQL's xxhash64 gives for texts."""
-    return np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+    """The low 32 bits of what SQL's xxhash64 gives for texts."""
+    return np.array([xxhash.xxh64_intdigest(t, 42) & 0xFFFFFFFF for t in texts], np.int64)
 
 
 def _stretches(x: np.ndarray) -> list[tuple[int, int]]:
@@ -369,7 +369,7 @@ def _heads(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return head, np.flatnonzero(head), np.cumsum(head) - 1
 
 
-def _gather(length: int, buckets: int):
+def _gather(length: int, buckets: int, groups: int):
     """Step 1, in tasks: anchors to buckets; those seen in several documents to the documents' groups."""
 
     def send(parts: list[tuple]) -> pa.RecordBatch:
@@ -391,7 +391,7 @@ def _gather(length: int, buckets: int):
         head, first, group = _heads(h)
         owner = docs.ord[rows]
         known = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first))[group]
-        out = docs.by_group(buckets, rows[known], place[known], shift=buckets)
+        out = docs.by_group(groups, rows[known], place[known], shift=buckets)
         go = ~known | head  # of a string known to be repeated, one mark
         h, rows, place = h[go], rows[go], np.where(known[go], _MARK, place[go])
         for x, y in _stretches(bucket := _bucket_of(h, buckets)):
@@ -419,7 +419,7 @@ def _gather(length: int, buckets: int):
     return run
 
 
-def _repeated(buckets: int):
+def _repeated(buckets: int, groups: int):
     """Step 1, in buckets: places of anchors whose string occurs in several documents."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -435,7 +435,7 @@ def _repeated(buckets: int):
         mark, owner = place == _MARK, docs.ord[rows]
         known = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.logical_or.reduceat(mark, first)
         go = known[group] & ~mark
-        return _table(docs.by_group(buckets, rows[go], place[go]))
+        return _table(docs.by_group(groups, rows[go], place[go]))
 
     return run
 
@@ -456,7 +456,7 @@ def _by_document(table: pa.Table, *blobs: str) -> tuple[set, dict]:
     return copies, {(int(ords[a]), int(marks[a])): [v[a:b] for v in values] for a, b in zip([0, *edge], [*edge, len(at)])}
 
 
-def _surroundings(length: int, buckets: int):
+def _surroundings(length: int, buckets: int, groups: int):
     """Step 2: the bytes of the windows of repeated anchors, to buckets by anchor."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -481,7 +481,7 @@ def _surroundings(length: int, buckets: int):
             settled[k] = seen.setdefault((bytes_, p - f), names[t][0]) != names[t][0]  # texts come by id
         out, press = [], zstandard.ZstdCompressor(level=1).compress
         if settled.any():
-            out = docs.by_group(buckets, text[settled], first[settled].astype(np.uint32), (last[settled] + length).astype(np.uint32), shift=buckets)
+            out = docs.by_group(groups, text[settled], first[settled].astype(np.uint32), (last[settled] + length).astype(np.uint32), shift=buckets)
         go = np.flatnonzero(~settled)
         bucket = _bucket_of(h[go], buckets)
         order = np.argsort(bucket, kind="stable")
@@ -495,7 +495,7 @@ def _surroundings(length: int, buckets: int):
     return run
 
 
-def _removals(length: int, buckets: int):
+def _removals(length: int, buckets: int, groups: int):
     """Step 3: stretches of bytes to remove, for the groups of their documents."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -515,7 +515,7 @@ def _removals(length: int, buckets: int):
         _, high = np.nonzero(steps == -1)
         anchor = (first + offset)[row]
         begin, end = anchor - (high - 1), anchor - low + length
-        return _table(docs.by_group(buckets, rows[row], begin.astype(np.uint32), end.astype(np.uint32)))
+        return _table(docs.by_group(groups, rows[row], begin.astype(np.uint32), end.astype(np.uint32)))
 
     return run
 
@@ -596,37 +596,25 @@ def remove_repeated(
         raise ValueError(f"length must be above {SEED} and at most {255 + SEED}")
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
-    hashed = base.select("ord", F.xxhash64("text").alias("tag"), F.unhex(F.sha2("text", 256)).alias("h"))
+    hashed = base.select("ord", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.unhex(F.sha2("text", 256)).alias("h"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // GROUP))
+    groups, buckets = (max(1, -(-total // size)) for size in (GROUP, BUCKET))
 
     key = F.pmod(F.col("ord"), F.lit(groups)).cast("int").alias("key")
     blank = [F.lit(None).cast("binary").alias(n) for n in _NAMES[3:]]
     several = hashed.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least <> most").select("h", "least")
-    copies = Stored(hashed.join(several, "h").where("ord > least").select(key, "ord", "tag", *blank).distinct())
+    copies = stored(hashed.join(several, "h").where("ord > least").select(key, "ord", "tag", *blank).distinct())
 
+    # one exchange of the texts serves both steps that need them: the plans of its two uses are equal
+    keyed = base.select("id", "ord", "text", key)
     long_enough = base.where(F.octet_length("text") >= length)
-    places = long_enough.select("ord", "text").mapInArrow(_gather(length, groups), _BLOBS).groupBy("key").applyInArrow(_repeated(groups), _BLOBS)
-    around = (
-        long_enough.select("ord", "text", key)
-        .groupBy("key")
-        .cogroup(places.unionByName(copies.df).groupBy("key"))
-        .applyInArrow(_surroundings(length, groups), _BLOBS)
-    )
-    stretches = Stored(around.groupBy("key").applyInArrow(_removals(length, groups), _BLOBS))
-    del around, places, hashed, several, long_enough
-    _free(docs)
+    places = long_enough.select("ord", "text").mapInArrow(_gather(length, buckets, groups), _BLOBS).groupBy("key").applyInArrow(_repeated(buckets, groups), _BLOBS)
+    around = keyed.groupBy("key").cogroup(places.unionByName(copies).groupBy("key")).applyInArrow(_surroundings(length, buckets, groups), _BLOBS)
+    stretches = around.groupBy("key").applyInArrow(_removals(length, buckets, groups), _BLOBS)
     schema = f"id {kind}, " + ", ".join(f"{n} {_OUT[n][0]}" for n in outputs)
     return (
-        base.select("id", "ord", "text", key)
-        .groupBy("key")
-        .cogroup(stretches.df.unionByName(copies.df).groupBy("key"))
+        keyed.groupBy("key")
+        .cogroup(stretches.unionByName(copies).groupBy("key"))
         .applyInArrow(_finish(length, outputs), schema)
         .withColumnRenamed("id", id_col)
     )
-
-
-def _free(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files of frames that are gone."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
