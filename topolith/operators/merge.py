@@ -26,7 +26,7 @@ def merge_lines(lines: DataFrame, cell: float | None = None, max_rounds: int = 5
     Returns ``fid`` and ``part`` (the least of the merged ones), ``coords``
     and ``members``. An open line starts at its smaller end; a merged ring
     starts at a node that other lines touch, if there is one, else at its
-    least vertex. Lines that merge with none keep their direction. Lines of
+    least vertex, and runs towards the smaller neighbour of that. Lines that merge with none keep their direction. Lines of
     fewer than two vertices are left out.
 
     A round is three exchanges for the touches, O(log n) small joins for the
@@ -70,14 +70,12 @@ def _nodes(lines: DataFrame, cell: float | None) -> DataFrame:
 
 
 def _round(lines: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
-    free = nodes.where("lines = 2 and ends")
     parts = lines.join(component.withColumnRenamed("node", "id"), "id")
     stay = lines.join(component.select(F.col("node").alias("id")), "id", "left_anti").select("fid", "part", "coords", "members")
     ends = parts.select("component", F.explode(F.array(F.element_at("coords", 1), F.element_at("coords", -1))).alias("c"))
     ends = ends.select("component", "c.x", "c.y").distinct()
     # what a component has to know of its nodes: where it may join, and where others touch it
     known = ends.join(nodes, ["x", "y"]).select("component", "x", "y", F.expr("lines = 2 and ends").alias("free"), (F.col("lines") > 2).alias("touched"))
-    del free
     key = [F.col("component.fid").alias("cf"), F.col("component.part").alias("cp")]
     left = parts.select(*key, "fid", "part", "coords", "members")
     right = known.select(*key, "x", "y", "free", "touched")
@@ -119,6 +117,8 @@ def _chain(lines: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
             start = min([p for p in coords if p in touched] or coords)
             i = coords.index(start)
             coords = coords[i:-1] + coords[: i + 1] if i else coords
+            if len(groups[k]) > 1 and coords[-2] < coords[1]:
+                coords = coords[::-1]
         elif len(groups[k]) > 1 and coords[-1] < coords[0]:
             coords = coords[::-1]
         mine = [rows[j] for j in groups[k]]
