@@ -18,9 +18,11 @@ Characters outside the vocabulary become byte pieces.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 #: Distinct stretches that a task keeps encoded; beyond it the store starts anew.
 KEPT = 300_000
+#: Characters of new stretches that are indexed at a time.
+BATCH = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -314,9 +318,13 @@ class Encoder:
                     at = index[stretch] = len(index)
                 row.append(at)
             rows.append(row)
-        fresh = list(index)[begun:] if begun < len(index) else []
-        if fresh:
-            self._encode_new(fresh)
+        fresh = list(islice(index, begun, None))
+        sizes = np.cumsum([len(s) for s in fresh])
+        begin = 0
+        while begin < len(fresh):  # bounded, so that edges take little memory; a longer stretch comes alone
+            end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BATCH, "right")))
+            self._encode_new(fresh[begin:end])
+            begin = end
         used = np.fromiter((x for row in rows for x in row), np.int64)
         counts = self.offsets[used + 1] - self.offsets[used]
         ends = np.cumsum(counts)
@@ -370,6 +378,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()  # what earlier tasks of this worker left in cycles
         encoder = Encoder(Vocabulary(shared.value))
         decode = encoder.v.decode
         for batch in slices(batches, "text", 8 << 20):
