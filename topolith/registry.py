@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixtures
 from .fixtures import SQL, box_polygons, fixture, kind_features, two_vertex_lines, vertex_lines
 from .functions import geometry as g
 from .operators import lines, merge, points, polygons, transforms
@@ -328,7 +327,6 @@ def polygon_must_not_overlap_with(spark, sf_dir):
 
 
 @_query(
-    # the same boxes with a corner cut off below the diagonal of a unit square: octagons that still overlap by the boxes' common part
     _with("fx_boxes", t=_OVERLAP.format("fx_boxes", "fx_boxes") + " AND a.fid < b.fid") + "SELECT fid_a, fid_b, area FROM t"
 )
 def polygon_must_not_overlap_general(spark, sf_dir):
@@ -425,5 +423,3 @@ def geojson_round_trip(spark, sf_dir):
     back = formats.from_geojson(found, "geometry")
     return back.select("fid", formats.to_wkt(F.col("kind"), F.col("parts")).alias("wkt"))
 
-
-_ = fixtures

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..operators.materialize import stored
 from ..plans.formats import parts_of_variant
-from ..schema import FEATURES
 from .binary import from_gpkg, from_wkb, shapefile
 from .drivers import driver_for
 
@@ -196,10 +195,6 @@ def require_features(df: DataFrame) -> DataFrame:
     return df
 
 
-def feature_schema() -> str:
-    return FEATURES.simpleString()
-
-
 # reference systems
 
 
