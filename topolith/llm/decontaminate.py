@@ -176,19 +176,15 @@ class Index:
         return out
 
     def _verify(self, text: bytes, i: int, low: int) -> tuple[int, int, int] | None:
-        """Edits and place of a copy of an item's window on the diagonals from one on, if there is one."""
+        """Fewest edits of a window of an item on diagonals from ``low`` on, and where all good windows lie."""
         item = self.texts[i]
-        slack = int(self.edits[i])
-        found = _align(item, text, low, self.width)
-        if found is None:
-            return None
-        marks, places = found  # edits of each byte of the item that the alignment covers, and their places
-        w = int(self.window[i])
-        if len(marks) < w:
-            return None
-        sums = np.concatenate(([0], np.cumsum(marks)))
-        edits = int((sums[w:] - sums[:-w]).min())
-        return (edits, int(places[0]), int(places[-1]) + 1) if edits <= slack else None
+        at = text.find(item, max(0, low), max(0, low + self.width + len(item)))
+        if at >= 0:  # the alignment without edits
+            return 0, at, at + len(item)
+        w, slack = int(self.window[i]), int(self.edits[i])
+        edits, begin, end = _align(item, text, low, self.width, w)
+        good = edits <= slack
+        return (int(edits.min()), int(begin[good].min()), int(end[good].max())) if good.any() else None
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -200,45 +196,34 @@ def _slot(grams: np.ndarray) -> np.ndarray:
         return ((grams * _FACTOR) >> np.uint64(64 - _BITS)).astype(np.int64)
 
 
-def _align(item: bytes, text: bytes, low: int, width: int):
-    """Best local alignment within diagonals low to low + width (text's place less item's place).
+def _align(item: bytes, text: bytes, low: int, width: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window of an item its fewest edits within a band, and where that copy begins and ends.
 
-    A match counts 1, an edit -3. Returns for each byte of the item that the
-    alignment covers how many edits belong to it, and its place in the text.
+    The band has diagonals (text's place less item's place) low to low +
+    width. All windows advance together, a byte at a time.
     """
-    m, n = len(item), len(text)
+    m, n = len(item) - window + 1, len(text)
     a = np.frombuffer(item, np.uint8)
-    padded = np.full(m + width + 1, 255, np.uint8)  # 255 is in no UTF-8 text
-    src = np.arange(low, low + m + width + 1)
-    ok = (src >= 0) & (src < n)
-    padded[ok] = np.frombuffer(text, np.uint8)[src[ok]]
-    scores = np.zeros((m + 1, width + 1), np.int32)
-    ramp = 3 * np.arange(width + 1)
-    for r in range(1, m + 1):
-        row = scores[r - 1] + np.where(padded[r - 1 : r + width] == a[r - 1], 1, -3)
-        row[:-1] = np.maximum(row[:-1], scores[r - 1, 1:] - 3)
-        row = np.maximum(row, 0)
-        scores[r] = np.maximum.accumulate(row + ramp) - ramp
-    r, c = np.unravel_index(int(scores.argmax()), scores.shape)
-    if scores[r, c] <= 0:
-        return None
-    marks, places, extra = [], [], 0
-    while r > 0 and scores[r, c] > 0:
-        s = scores[r, c]
-        equal = padded[r - 1 + c] == a[r - 1]
-        if s == scores[r - 1, c] + (1 if equal else -3):
-            marks.append(extra + (0 if equal else 1))
-            places.append(low + r - 1 + c)
-            extra, r = 0, r - 1
-        elif c < width and s == scores[r - 1, c + 1] - 3:
-            marks.append(extra + 1)
-            places.append(low + r - 1 + c)
-            extra, r, c = 0, r - 1, c + 1
-        elif c > 0 and s == scores[r, c - 1] - 3:
-            extra, c = extra + 1, c - 1
-        else:
-            break
-    return np.array(marks[::-1], np.int64), places[::-1]
+    src = np.arange(low, low + len(item) + width + 1)
+    padded = np.where((src >= 0) & (src < n), np.frombuffer(text, np.uint8)[np.clip(src, 0, n - 1)], 255)  # in no UTF-8 text
+    ramp = np.arange(width + 1)
+    cost = np.zeros((m, width + 1), np.int32)
+    start = np.broadcast_to(ramp, cost.shape)  # the diagonal that a copy begins on
+    rows = np.arange(m)
+    for t in range(window):
+        at = rows[:, None] + t + ramp
+        here = cost + (padded[at] != a[rows + t][:, None])
+        over = np.full_like(cost, window + 1)
+        over[:, :-1] = cost[:, 1:] + 1
+        begun = np.where(over[:, :] < here, np.concatenate((start[:, 1:], start[:, -1:]), axis=1), start)
+        here = np.minimum(here, over)
+        least = np.minimum.accumulate(here - ramp, axis=1) + ramp
+        # a byte of the text beside the item: the path comes from the last place that set the minimum
+        source = np.maximum.accumulate(np.where(here == least, ramp, 0), axis=1)
+        start = np.take_along_axis(begun, source, axis=1)
+        cost = least
+    best = cost.argmin(axis=1)
+    return cost[rows, best], low + rows + start[rows, best], low + rows + window + best
 
 
 def spans(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
