@@ -208,21 +208,15 @@ def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 def extract(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: blocks joined by an empty line; empty for a page without text."""
     found = lines(html)
-    inner = [x for x in found if x[1]]
-    sizes_in = {}
-    for text, scope in inner:
-        sizes_in[scope] = sizes_in.get(scope, 0) + len(text)
-    if any(sizes_in.values()):
-        # what lies between the first surge and the last dive of a scope is its article
+    if any(text and scope for text, scope in found):
+        # a scope's bounds are its surge and its dive
         return "\n\n".join(text for text, scope in found if scope and text)
-    gap = ("", 0)
-    padded = [y for x in found for y in ((x, gap, gap) if not x[0] else (x,))]
-    sizes = [len(t) for t, _ in padded]
+    sizes = [len(t) for t, _ in found]
     runs = stretches(sizes, window, surge) or stretches(sizes, window, 1)
     if not runs:
         return ""
     a, b = max(runs, key=lambda r: sum(sizes[r[0] : r[1]]))
-    return "\n\n".join(t for t, _ in padded[a:b] if t)
+    return "\n\n".join(t for t, _ in found[a:b] if t)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
