@@ -418,3 +418,24 @@ def test_scan_equals_brute_force(spark):
             if held >= 0.8 * len(shingles):
                 want.append(name)
         assert row["licenses"] == sorted(want)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op8_suffix_array_dedup", "op10_license_scan"])
+def test_registered_queries_equal_their_sql(spark, name):
+    import os
+
+    from topolith.llm import registry
+
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    con = duckdb.connect(config={"temp_directory": ""})
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = registry.queries()[name](spark, DATA)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.fetchall())

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chains, decontaminate, html, licenses, merkle, pieces, pii, quality, simhash, suffixes
+from . import chains, decontaminate, html, licenses, merkle, oracles, pieces, pii, quality, simhash, suffixes
 from .common import table
 from .settings import PIECE_MODEL, PII_KEY
 
@@ -51,7 +52,9 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["contained"])), F.lit(0.0))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.col("n_licenses").cast("long").alias("n_licenses"), best.alias("contained"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -71,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
