@@ -71,6 +71,29 @@ def test_areas_add_up(seed):
     assert total == exact.area(poly[0])
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_convex_polygons_give_what_the_general_way_gives(seed):
+    r = random.Random(seed)
+
+    def hull():
+        pts = sorted({(float(r.randrange(9)), float(r.randrange(9))) for _ in range(9)})
+        out = []
+        for part in (pts, pts[::-1]):
+            side = []
+            for p in part:
+                while len(side) > 1 and exact.turn(exact.point(*side[-2]), exact.point(*side[-1]), exact.point(*p)) <= 0:
+                    side.pop()
+                side.append(p)
+            out += side[:-1]
+        return exact.rings_of([[{"x": x, "y": y} for x, y in [*out, out[0]]]])
+
+    one, two = hull(), hull()
+    assert exact.is_convex(one[0]) and exact.is_convex(two[0])
+    quick = exact.intersection(one, two)
+    hole = [[p for p in one[0]], []]  # an empty second ring sends it the general way
+    assert quick == exact.intersection(hole, two)
+
+
 def test_a_lone_polygon_is_all_gaps(spark):
     assert rule.must_not_have_gaps(polygons(spark, [square(0, 0)])).count() == 4
 
