@@ -116,7 +116,9 @@ def _decided(pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, pa.schema(fields))
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInArrow(run, f"{columns}, kind string, x double, y double, to_x double, to_y double")
+    # the work is in the kernel, not in the bytes by which partitions are merged
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n).mapInArrow(run, f"{columns}, kind string, x double, y double, to_x double, to_y double")
 
 
 def must_not_overlap(lines: DataFrame, cell: float | None = None) -> DataFrame:

@@ -60,7 +60,9 @@ def _shared(pairs: DataFrame) -> DataFrame:
             kinds = [("fid_a", pa.int64()), ("fid_b", pa.int64()), ("piece", pa.int32()), ("rings", pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))]
             yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
 
-    others = pairs.where(~both & overlap).select("a_fid", "b_fid", "a_rings", "b_rings").mapInArrow(run, _SHARED)
+    # the work is in the kernel, not in the bytes by which partitions are merged
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    others = pairs.where(~both & overlap).select("a_fid", "b_fid", "a_rings", "b_rings").repartition(n).mapInArrow(run, _SHARED)
     return boxes.unionByName(others)
 
 
