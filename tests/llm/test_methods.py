@@ -198,6 +198,17 @@ def test_fuzzy_passages_are_found_with_their_places(spark):
     assert found[2]["n_links"] == 0 and found[2]["class_id"] == 2
 
 
+@pytest.mark.parametrize("sizes", [(1000, 100, 300), (100, 20, 60), (100, 20, 60, 15, 50), (60, 200, 70)])
+def test_stretches_after_a_stretchs_best_point_are_kept(sizes):
+    x = np.arange(sum(sizes), dtype=np.uint32)
+    y, ends = x.copy(), np.cumsum(sizes)
+    for end, n in zip(ends[1::2], sizes[1::2]):
+        y[end - n : end] += 10**6
+    spots = np.array([(i, i) for end, n in zip(ends[::2], sizes[::2]) for i in (end - n, end - 1)])
+    expected = [(end - n, end, end - n, end, n) for end, n in zip(ends[::2].tolist(), sizes[::2])]
+    assert chains.passages(x, y, spots, chains.Passages()) == expected
+
+
 def test_short_common_phrases_do_not_link(spark):
     r = random.Random(6)
     phrase = " ".join(f"q{i}" for i in range(30))
