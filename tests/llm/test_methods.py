@@ -55,6 +55,18 @@ def test_odd_pages(page, text):
     assert html.extract(page) == text
 
 
+LONG = [f"Sentence {k} of the text goes on with enough plain words to count as content of the page." for k in range(6)]
+
+
+def test_dropped_siblings_do_not_cut_an_article():
+    dropped = "<div class=share>Share</div><div class=advert>Buy</div><form>Mail</form>"
+    before, after = ("".join(f"<p>{x}</p>" for x in part) for part in (LONG[:2], LONG[2:]))
+    page = f"<body><div id=a>{before}{dropped}{after}{dropped}<p>Last.</p></div>{dropped}<div>Imprint of the site</div></body>"
+    assert html.extract(page).split("\n\n") == [*LONG, "Last."]
+    bare = f"<body>{before}{dropped}{after}{dropped}</body>"
+    assert html.extract(bare).split("\n\n") == LONG
+
+
 @given(st.text(alphabet="<>/p a&;\"'div!-=brscript", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_survived(page):

@@ -4,9 +4,11 @@ Markup is stripped to lines, one for each block-level stretch of text. Lines
 of scripts, menus, headers, footers, adverts, notices, forms and comments are
 emptied by their elements' names, classes and roles. Over the lines left, text
 lengths are summed in a sliding window; a surge starts a stretch of content
-and a dive ends it, and the stretch with the most text gives the article.
-``article`` and ``main`` elements are hard bounds: a stretch does not cross
-them, and when a page has such an element with text, stretches within it win.
+and a dive ends it. The stretch with the most text gives the article, together
+with what follows its container's first surge within the container (an element
+such as ``div`` that holds the stretch); if only the page holds it, all of the
+page's stretches count. ``article`` and ``main`` elements are hard bounds: when a
+page has such an element with text, only their text is kept, and whole.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ _BLOCK = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("nav header footer aside form button dialog menu label input option fieldset title".split())
 _SCOPE = frozenset("article main".split())
+_HOLDERS = frozenset("article body center details div html main section td".split())
 _OPTIONAL_END = frozenset("p li dt dd tr td th option thead tbody tfoot caption".split())
 
 _BOILER = re.compile(
@@ -73,16 +76,45 @@ def _unwanted(tag: str, attrs: str) -> bool:
     return False
 
 
+class Elements:
+    """Elements in page order: name, parent, and the last element within; 0 is the page."""
+
+    def __init__(self):
+        self.tag, self.parent, self.last = ["html"], [-1], [0]
+
+    def open(self, tag: str, parent: int) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.last.append(-1)
+        return len(self.tag) - 1
+
+    def close(self, k: int) -> None:
+        self.last[k] = len(self.tag) - 1
+
+    def holder(self, first: int, low: int, high: int) -> int:
+        """The innermost element that holds ``first`` and all from ``low`` to ``high`` and can hold an article."""
+        k = first
+        while k and not (k <= low and high <= self.last[k] and self.tag[k] in _HOLDERS):
+            k = self.parent[k]
+        return 0 if self.tag[k] in ("body", "html") else k
+
+
 def lines(html: str) -> list[tuple[str, int]]:
-    """The text of each block in page order, with the scope it lies in.
+    """The text of each block in page order, with the scope it lies in; see ``_lines``."""
+    return [(text, scope) for text, scope, _ in _lines(html)[0]]
 
-    Scope 0 is outside of every ``article`` and ``main``; each such element
-    counts on. An element that is dropped leaves an empty line. A tag cut off
+
+def _lines(html: str) -> tuple[list[tuple[str, int, int]], Elements]:
+    """The text of each block in page order, with the scope and the element it lies in.
+
+    Scope 0 is outside of every ``article`` and ``main``; each outermost such
+    element counts on. An element that is dropped leaves an empty line. A tag cut off
     by the end of the page is no text.
     """
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
+    elements = Elements()
     held: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, dropped, scope outside
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, dropped, scope outside, number
     dropped, scope, scopes, breaks, at = 0, 0, 0, 0, 0
 
     def flush() -> None:
@@ -91,12 +123,13 @@ def lines(html: str) -> list[tuple[str, int]]:
             text = _SPACE.sub(" ", "".join(held)).strip()
             held = []
             if text:
-                out.append((text, scope))
+                out.append((text, scope, stack[-1][3] if stack else 0))
 
     def close(k: int) -> None:
         nonlocal dropped, scope
         while len(stack) > k:
-            _, was, outer = stack.pop()
+            _, was, outer, number = stack.pop()
+            elements.close(number)
             dropped -= was
             scope = outer
 
@@ -134,7 +167,7 @@ def lines(html: str) -> list[tuple[str, int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if tag in _SCOPE:
-                        out.append(("", scope))
+                        out.append(("", scope, 0))
                     close(k)
                     break
                 if tag not in _BLOCK and stack[k][0] in _BLOCK:
@@ -156,13 +189,14 @@ def lines(html: str) -> list[tuple[str, int]]:
         bad = not dropped and _unwanted(tag, attrs)
         if bad:
             flush()
-            out.append(("", scope))
-        stack.append((tag, bad, scope))
+            out.append(("", scope, 0))
+        stack.append((tag, bad, scope, elements.open(tag, stack[-1][3] if stack else 0)))
         dropped += bad
         if tag in _SCOPE and not dropped:
-            scopes += 1
-            out.append(("", scope))
-            scope = scopes
+            out.append(("", scope, 0))
+            if not scope:
+                scopes += 1
+                scope = scopes
     rest = html[at:]
     if rest and not dropped:
         cut = rest.find("<")
@@ -170,7 +204,9 @@ def lines(html: str) -> list[tuple[str, int]]:
             rest = rest[:cut]
         held.append(unescape(_whole_references(rest)))
     flush()
-    return out
+    close(0)
+    elements.close(0)
+    return out, elements
 
 
 def _whole_references(text: str) -> str:
@@ -207,16 +243,28 @@ def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 
 def extract(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: blocks joined by an empty line; empty for a page without text."""
-    found = lines(html)
-    if any(text and scope for text, scope in found):
+    found, elements = _lines(html)
+    if any(text and scope for text, scope, _ in found):
         # a scope's bounds are its surge and its dive
-        return "\n\n".join(text for text, scope in found if scope and text)
-    sizes = [len(t) for t, _ in found]
+        return "\n\n".join(text for text, scope, _ in found if scope and text)
+    return "\n\n".join(found[k][0] for k in _article(found, elements, window, surge))
+
+
+def _article(found: list[tuple[str, int, int]], elements: Elements, window: int, surge: int) -> list[int]:
+    """Lines of the article that has its longest stretch outside of every scope."""
+    sizes = [0 if scope else len(text) for text, scope, _ in found]
     runs = stretches(sizes, window, surge) or stretches(sizes, window, 1)
     if not runs:
-        return ""
+        return []
     a, b = max(runs, key=lambda r: sum(sizes[r[0] : r[1]]))
-    return "\n\n".join(t for t, _ in found[a:b] if t)
+    at = [found[k][2] for k in range(a, b) if sizes[k]]
+    top = elements.holder(at[0], min(at), max(at))
+    if not top:
+        return [k for a, b in runs for k in range(a, b) if sizes[k]]
+    within = [k for k, (text, _, n) in enumerate(found) if text and top <= n <= elements.last[top]]
+    own = set(within)
+    begin = min(k for a, b in runs for k in range(a, b) if sizes[k] and k in own)
+    return [k for k in within if k >= begin]
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
