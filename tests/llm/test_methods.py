@@ -67,6 +67,19 @@ def test_dropped_siblings_do_not_cut_an_article():
     assert html.extract(bare).split("\n\n") == LONG
 
 
+def test_small_articles_do_not_replace_the_text_outside():
+    cards = "".join(f"<article><h3>Card {k}</h3><p>A teaser.</p></article>" for k in range(3))
+    body = "".join(f"<p>{x}</p>" for x in LONG)
+    assert html.extract(f"<body><div id=a>{body}</div><div>{cards}</div></body>").split("\n\n") == LONG
+    # an article that holds most of the text wins
+    assert html.extract(f"<body><article>{body}</article><div><p>{LONG[0]} Again.</p></div></body>").split("\n\n") == LONG
+    # many articles against one text that is larger than each: both stay
+    many = "".join(f"<article><p>{x}</p></article>" for x in LONG)
+    assert html.extract(f"<body><div><p>{'More. ' * 30}</p></div>{many}</body>").split("\n\n") == [("More. " * 30).strip(), *LONG]
+    # an article within the text's own container is part of it
+    assert html.extract(f"<body><div>{body}<article><p>Quoted.</p></article><p>{LONG[0]}</p></div></body>").split("\n\n") == [*LONG, "Quoted.", LONG[0]]
+
+
 @given(st.text(alphabet="<>/p a&;\"'div!-=brscript", max_size=80))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_survived(page):

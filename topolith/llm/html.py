@@ -7,8 +7,9 @@ lengths are summed in a sliding window; a surge starts a stretch of content
 and a dive ends it. The stretch with the most text gives the article, together
 with what follows its container's first surge within the container (an element
 such as ``div`` that holds the stretch); if only the page holds it, all of the
-page's stretches count. ``article`` and ``main`` elements are hard bounds: when a
-page has such an element with text, only their text is kept, and whole.
+page's stretches count. ``article`` and ``main`` elements are hard bounds: their
+text is kept whole unless there is more in the article found outside of them,
+which in turn is left out unless it has more text than the largest of them.
 """
 
 from __future__ import annotations
@@ -244,10 +245,16 @@ def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 def extract(html: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a page: blocks joined by an empty line; empty for a page without text."""
     found, elements = _lines(html)
-    if any(text and scope for text, scope, _ in found):
-        # a scope's bounds are its surge and its dive
-        return "\n\n".join(text for text, scope, _ in found if scope and text)
-    return "\n\n".join(found[k][0] for k in _article(found, elements, window, surge))
+    outside = _article(found, elements, window, surge)
+    inside = [k for k, (text, scope, _) in enumerate(found) if text and scope]
+    regions: dict[int, int] = {}
+    for k in inside:
+        regions[found[k][1]] = regions.get(found[k][1], 0) + len(found[k][0])
+    size = sum(len(found[k][0]) for k in outside if not found[k][1])
+    kept = set(inside) if sum(regions.values()) >= size else set()
+    if size > max(regions.values(), default=0):
+        kept |= set(outside)
+    return "\n\n".join(found[k][0] for k in sorted(kept))
 
 
 def _article(found: list[tuple[str, int, int]], elements: Elements, window: int, surge: int) -> list[int]:
