@@ -400,11 +400,43 @@ def test_edits_are_located():
     assert merkle.fingerprint(a) != merkle.fingerprint(a + " ")
 
 
-@given(st.text(max_size=400))
-@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(max_size=400), st.text(alphabet=" \n\tab.e\r\x0b", max_size=200)))
+@settings(max_examples=300, deadline=None)
 def test_blocks_lose_nothing(text):
-    for line in text.split("\n"):
-        assert "".join(merkle.blocks(line)) == line
+    cut = merkle.paragraphs(text)
+    assert "".join(line + after for line, after in cut) == text
+    for line, _ in cut:
+        assert "".join(merkle.blocks(line)) == line and "\n" not in line
+
+
+@given(st.lists(st.text(alphabet=" \nae.", max_size=40), min_size=2, max_size=12, unique=True))
+@settings(max_examples=200, deadline=None)
+def test_roots_tell_texts_apart_by_the_tree_alone(texts):
+    roots = [merkle.tree(t)[0] for t in texts]
+    assert len(set(roots)) == len(texts)
+    for t, root in zip(texts, roots):
+        nodes = [h for h, _ in merkle.tree(t)[1]]
+        assert root == hashlib.sha256("/".join(nodes).encode()).hexdigest()[: merkle.ROOT]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_likeness_down_the_tree_equals_that_of_all_blocks(seed):
+    from collections import Counter
+
+    r = random.Random(seed)
+    lines = [" ".join(r.choice(["stone", "river", "and", "of", "light.", "tree"]) for _ in range(r.randrange(1, 30))) for _ in range(12)]
+    a, b = ("".join(x + r.choice(["\n", "\n\n", "\n \n\n"]) for x in r.choices(lines, k=r.randrange(1, 14))) for _ in range(2))
+    x, y = (Counter(block for line, _ in merkle.paragraphs(t) for block in merkle.blocks(line)) for t in (a, b))
+    both = sum((x & y).values())
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) == both / (sum(x.values()) + sum(y.values()) - both)
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1.0
+    assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint("")) == 0.0
+
+
+def test_a_single_sentence_is_like_its_first_half():
+    text = "The stone near the old river gate had been set there by hands that nobody could name"
+    changed = merkle.edited(text, "Quite another document begins with words of its own, all of them unlike the first")
+    assert 0.1 < merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(changed)) < 0.7
 
 
 @pytest.mark.parametrize("partitions", [1, 3, 9])

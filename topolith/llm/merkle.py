@@ -1,12 +1,13 @@
 """Document fingerprints: Merkle trees over blocks, paragraphs and sections.
 
-A text is cut into sections (at blank lines), sections into paragraphs (lines)
-and paragraphs into blocks (sentences; stretches without a sentence end are
-cut after words chosen by their hash, so that cuts depend on content alone).
-Leaves are hashes of blocks; a node hashes its children; the root also binds
-the text's length. Equal texts have equal roots; where roots differ, walking
-down the differing branches finds the edits. The fingerprint lists the root
-and the leaves, which is all that likeness needs.
+A text is cut into paragraphs (lines) and sections (which end with blank lines),
+and paragraphs into blocks, which end with a sentence or after a word with one
+of the commonest last letters, so that cuts depend on content alone. Leaves are hashes of
+blocks. A paragraph hashes its leaves and the white space that follows it, a
+section its paragraphs, and the root its sections, so that the tree binds every
+character: equal texts have equal roots, and texts that differ have differing ones.
+Where roots differ, walking down the differing branches finds the edits. The
+fingerprint lists the whole tree, shortened; likeness goes down it likewise.
 """
 
 from __future__ import annotations
@@ -23,72 +24,83 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-#: Hex digits of a leaf and of the root in a fingerprint.
-LEAF, ROOT = 8, 32
-#: Blocks longer than this many characters are cut further.
-LONG = 160
+#: Hex digits of a node and of the root in a fingerprint.
+NODE, ROOT = 6, 32
+#: Characters of a block at least (but for the last one of a paragraph), and at most.
+SHORT, LONG = 12, 160
 
-_PIECES = re.compile(r"[^.!?]*(?:[.!?]+|$)\s*")
-_WORDS = re.compile(r"\S*\s*")
+_BLOCK = re.compile(rf".{{{SHORT},{LONG}}}?(?:[.!?]+\s*|(?<=[estndr])\s+)|.{{1,{LONG}}}", re.S)
+_PARAGRAPH = re.compile(r"([^\n]*[^\n\s][^\n]*)((?:\n[^\S\n]*(?=\n|\Z))*\n?)|([\s]+)")
+_digest = xxhash.xxh3_128_hexdigest
 
 
 def blocks(paragraph: str) -> list[str]:
     """The blocks of a paragraph; joined they give the paragraph."""
-    out = []
-    for piece in _PIECES.findall(paragraph):
-        if len(piece) <= LONG:
-            if piece:
-                out.append(piece)
-            continue
-        held: list[str] = []
-        size = 0
-        for word in _WORDS.findall(piece):
-            held.append(word)
-            size += len(word)
-            if size >= 32 and (xxhash.xxh32_intdigest(word) & 7 == 0 or size >= 2 * LONG):
-                out.append("".join(held))
-                held, size = [], 0
-        if size:
-            out.append("".join(held))
-    return out
+    return _BLOCK.findall(paragraph)
+
+
+def paragraphs(text: str) -> list[tuple[str, str]]:
+    """Lines with text, each with the line ends and blank lines after it; white space before the first one stands alone."""
+    return [(m[1] or "", m[2] or m[3] or "") for m in _PARAGRAPH.finditer(text)]
+
 
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
-def tree(text: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
+
+Section = tuple[str, list[tuple[str, list[str]]]]
+
+
+def tree(text: str) -> tuple[str, list[Section]]:
     """The root's hash, and sections with their paragraphs with their leaves' hashes."""
-    sections: list = []
-    paragraphs: list = []
-    digest = xxhash.xxh3_64_hexdigest
-    for line in text.split("\n"):
-        if line.strip():
-            leaves = [digest(b.encode("utf-8", "surrogatepass")) for b in blocks(line)]
-            paragraphs.append((digest("/".join(leaves)), leaves))
-        elif paragraphs:
-            sections.append((digest("/".join(h for h, _ in paragraphs)), paragraphs))
-            paragraphs = []
-    if paragraphs:
-        sections.append((digest("/".join(h for h, _ in paragraphs)), paragraphs))
-    bound = f"{len(text)}:{digest(text.encode('utf-8', 'surrogatepass'))}:" + "/".join(h for h, _ in sections)
-    return hashlib.sha256(bound.encode()).hexdigest()[:ROOT], sections
+    sections: list[Section] = []
+    held: list[tuple[str, list[str]]] = []
+    for line, after in paragraphs(text):
+        leaves = [_digest(_bytes(b)) for b in blocks(line)]
+        held.append((_digest("/".join(leaves) + "|" + _digest(_bytes(after))), leaves))
+        if after.count("\n") > 1:
+            sections.append((_digest("/".join(h for h, _ in held)), held))
+            held = []
+    if held:
+        sections.append((_digest("/".join(h for h, _ in held)), held))
+    return hashlib.sha256("/".join(h for h, _ in sections).encode()).hexdigest()[:ROOT], sections
 
 
 def fingerprint(text: str) -> str:
-    """``root:leaf leaf;leaf|...``: blocks run on, ``;`` ends a paragraph, ``|`` a section."""
+    """``root:section=paragraph-leaf leaf;paragraph-...|section=...``, hashes of fixed width, leaves run on."""
     root, sections = tree(text)
-    return f"{root}:" + "|".join(";".join("".join(x[:LEAF] for x in leaves) for _, leaves in paragraphs) for _, paragraphs in sections)
-
-
-def _leaves(fp: str) -> Counter:
-    body = fp[ROOT + 1 :].replace("|", "").replace(";", "")
-    return Counter(body[i : i + LEAF] for i in range(0, len(body), LEAF))
+    return f"{root}:" + "|".join(
+        f"{h[:NODE]}=" + ";".join(f"{p[:NODE]}-" + "".join(x[:NODE] for x in leaves) for p, leaves in inner) for h, inner in sections
+    )
 
 
 def likeness(a: str, b: str) -> float:
-    """Shared leaves over all leaves of two fingerprints, repeats counted; 1 for equal roots."""
+    """Shared leaves over all leaves of two fingerprints, repeats counted; 1 for equal roots, 0 if one has no leaf.
+
+    Goes down the trees: sections that both have count whole, without a look
+    at what is in them; of the others the paragraphs are compared, and of the
+    paragraphs that only one has the leaves.
+    """
     if a[:ROOT] == b[:ROOT]:
         return 1.0
-    x, y = _leaves(a), _leaves(b)
-    both = sum((x & y).values())
-    return both / max(1, sum(x.values()) + sum(y.values()) - both)
+    one, two = (Counter(fp[ROOT + 1 :].split("|") if len(fp) > ROOT + 1 else ()) for fp in (a, b))
+    shared = sum(_leaves(node) * n for node, n in (one & two).items())
+    total = sum(_leaves(node) * n for side in (one, two) for node, n in side.items())
+    one, two = (Counter(p for node, n in side.items() for p in node[NODE + 1 :].split(";") * n) for side in (one - two, two - one))
+    shared += sum(_leaves(node) * n for node, n in (one & two).items())
+    one, two = (Counter(leaf for node, n in side.items() for leaf in _cut(node[NODE + 1 :]) * n) for side in (one - two, two - one))
+    shared += sum((one & two).values())
+    return shared / max(1, total - shared)
+
+
+def _cut(leaves: str) -> list[str]:
+    return [leaves[i : i + NODE] for i in range(0, len(leaves), NODE)]
+
+
+def _leaves(node: str) -> int:
+    """Leaves of a section or paragraph as the fingerprint lists it."""
+    inner = node.split("=")[-1]
+    return sum((len(p) - NODE - 1) // NODE for p in inner.split(";"))
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
@@ -101,10 +113,10 @@ def differing(a: str, b: str) -> list[tuple[int, int]]:
     if root_a == root_b:
         return []
     out = []
-    for i, (h, paragraphs) in enumerate(one):
+    for i, (h, inner) in enumerate(one):
         other = two[i] if i < len(two) else ("", [])
         if h != other[0]:
-            out += [(i, j) for j, (p, _) in enumerate(paragraphs) if j >= len(other[1]) or p != other[1][j][0]]
+            out += [(i, j) for j, (p, _) in enumerate(inner) if j >= len(other[1]) or p != other[1][j][0]]
     return out
 
 
@@ -123,12 +135,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The next document is that of the next smaller id, after the last the
     first; rows of one id follow each other by text; null ids come last. A
     null text counts as empty. A table of one row is its own successor; an
-    empty table gives an empty result; other columns are left out.
+    empty table gives an empty result; other columns are left out, whatever
+    their names. Ids must be numbers. Very long texts are read whole; a task
+    holds one and its successor.
 
-    One exchange by ranges of the id puts neighbours side by side; a task
-    holds one text and its successor at a time. The successor of a range's
-    last row is the first of the next range, which is added to the range
-    beforehand (a row a range).
+    One exchange by ranges of the id, a range a partition, puts neighbours
+    side by side. The successor of a range's last row is the first of the
+    next range, which is added to the range beforehand (a row a range).
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -155,7 +168,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     dealt = (
         base.withColumn("extra", F.lit(0))
         .unionByName(first)
-        .repartition(n, "bucket")
+        .repartitionById(len(cuts) + 2, F.col("bucket") + 1)
         .sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
     )
 
