@@ -22,9 +22,28 @@ from pyspark.sql import functions as F
 #: Rounds of a network; even, so that the parts end where they began.
 ROUNDS = 8
 
+# fixed values: lengths of account numbers by country
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _account(length: int) -> str:
+    """What follows the check digits: in one piece, or in groups of four."""
+    groups, rest = divmod(length - 4, 4)
+    return rf"\d{{2}}(?:[A-Z0-9]{{{length - 4}}}|(?: [A-Z0-9]{{4}}){{{groups}}}" + (rf" [A-Z0-9]{{{rest}}}" if rest else "") + ")"
+
+
 # candidates; the numbers of the groups count through the whole pattern
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{c.replace(' ', '|')}){_account(n)}" for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_HEXTET = "[0-9A-Fa-f]{1,4}"
+_IP6 = (
+    rf"(?<![\w:.])(?:(?:{_HEXTET}:){{7}}{_HEXTET}|{_HEXTET}(?::{_HEXTET}){{0,5}}::(?:{_HEXTET}(?::{_HEXTET}){{0,5}})?|::{_HEXTET}(?::{_HEXTET}){{0,6}})(?![\w:]|\.\d)"
+)
 _YMD = r"(?<![\w./-])(?:19|20)\d{2}([-/.])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])(?![\w/-]|\.\d)"
 _DMY = r"(?<![\w./-])\d{1,2}([-/.])\d{1,2}\2(?:19|20)\d{2}(?![\w/-]|\.\d)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -36,13 +55,17 @@ _PHONE = (
     r"|(?<![\w+])\+\d{8,15}(?!\d)"
     r"|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\w.-])\d{3}([.-])\d{3}\4\d{4}(?![\w-])"
+    r"|(?<![\w.,/+-])0[1-9]\d{1,3}[ /-]\d{6,8}(?![\w-]|[.,]\d)"
 )
 _CARD = r"(?<![\w.-])(?:\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5})(?![\w-])"
 
-#: All candidates. Each begins with a letter, a digit, a plus sign or a bracket.
-PATTERN = "|".join((_EMAIL, _IBAN, _YMD, _DMY, _IP, _SSN, _PHONE, _CARD))
+#: All candidates.
+PATTERN = "|".join((_EMAIL, _IBAN, _IP6, _YMD, _DMY, _IP, _SSN, _PHONE, _CARD))
 
+_FIRST_YEAR, _YEARS = 1900, 200
 _FIRST_DAY, _DAYS = "1900-01-01", 73049  # up to 2099-12-31; 73049 = 17 * 4297
+#: Days after the 28th in months that always have them, and leap years from 1904 to 2096.
+_LATE = [(d, m) for d in (29, 30, 31) for m in range(1, 13) if m != 2 and (d < 31 or m in (1, 3, 5, 7, 8, 10, 12))]
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -77,32 +100,43 @@ def permute_pair(a: Column, b: Column, size_a: int, size_b: int, key: str, label
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS // 2)), start, step)
 
 
+#: First character and size of each alphabet; that of a place does not change with the value in it.
+ALPHABETS = {"d": (48, 10), "z": (48, 2), "n": (50, 8), "l": (97, 26), "u": (65, 26), "h": (97, 6), "H": (65, 6)}
+
+
 def _turned(c: Column, kind: Column, by: Column) -> Column:
     def within(first: int, size: int) -> Column:
         return F.char(F.pmod(F.ascii(c) - F.lit(first) + by, F.lit(size)) + F.lit(first))
 
-    return (
-        F.when(kind == "d", within(48, 10)).when(kind == "n", within(50, 8)).when(kind == "l", within(97, 26)).when(kind == "u", within(65, 26)).otherwise(c)
-    )
+    out = F.when(kind == "d", within(48, 10))
+    for name, (first, size) in ALPHABETS.items():
+        out = out.when(kind == name, within(first, size))
+    return out.otherwise(c)
 
 
 def permute_characters(marked: Column, key: str, label: str) -> Column:
     """A keyed permutation of texts that keeps each place's alphabet.
 
     ``marked`` is an array of structs of a character ``c`` and its alphabet
-    ``k``: d digits, n digits from 2 on, l and u letters, x stays as it is.
+    ``k``: d digits, z digits below 2, n digits from 2 on, l and u letters, h
+    and H letters up to f, x stays as it is. A character's image lies in its
+    own alphabet, so texts that differ in an alphabet have images that do.
     Upper and lower case turn alike. Returns the new text.
     """
+    per = 16  # places that one digest turns, by four hex digits each
 
     def step(acc: Column, turn: Column) -> Column:
         other = F.lower(F.array_join(F.transform(acc["r"], lambda e: e["c"]), ""))
+        first = _digest(key, label, turn, other)
+        # a longer half takes a digest for each sixteen places
+        more = F.transform(F.sequence(F.lit(1), F.floor(F.size(acc["l"]) / per).cast("int")), lambda b: _digest(key, label, turn, F.concat_ws("|", b.cast("string"), other)))
         return _let(
-            _digest(key, label, turn, other),
+            F.when(F.size(acc["l"]) <= per, first).otherwise(F.concat(first, F.array_join(more, ""))),
             lambda h: F.struct(
                 acc["r"].alias("l"),
                 F.transform(
                     acc["l"],
-                    lambda e, i: F.struct(_turned(e["c"], e["k"], _number(h, (i % 15) * 4 + 1, 4)).alias("c"), e["k"].alias("k")),
+                    lambda e, i: F.struct(_turned(e["c"], e["k"], _number(h, i * 4 + 1, 4)).alias("c"), e["k"].alias("k")),
                 ).alias("r"),
             ),
         )
@@ -124,13 +158,13 @@ def _characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _marked(text: Column) -> Column:
+def _marked(text: Column, lower: str = "l", upper: str = "u") -> Column:
     """Every character with the alphabet it belongs to."""
     return F.transform(
         _characters(text),
         lambda c: F.struct(
             c.alias("c"),
-            F.when(c.rlike("^[0-9]$"), "d").when(c.rlike("^[a-z]$"), "l").when(c.rlike("^[A-Z]$"), "u").otherwise("x").alias("k"),
+            F.when(c.rlike("^[0-9]$"), "d").when(c.rlike("^[a-z]$"), lower).when(c.rlike("^[A-Z]$"), upper).otherwise("x").alias("k"),
         ),
     )
 
@@ -213,6 +247,11 @@ def _ip(hit: Column, key: str) -> Column:
     return _let(F.split(hit, r"\."), of)
 
 
+def _ip6(hit: Column, key: str) -> Column:
+    """Digits stay digits and letters letters in each place; colons stay. A hit without a digit is none."""
+    return F.when(hit.rlike("[0-9]"), permute_characters(_marked(hit, "h", "H"), key, "ip6"))
+
+
 def _ssn(hit: Column, key: str) -> Column:
     """Areas 001 to 899 but for 666, groups 01 to 99, serials 0001 to 9999."""
 
@@ -234,20 +273,27 @@ def _ssn(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
-    """A country code stays; area codes and exchanges of ten-digit numbers begin with 2 to 9."""
+    """A country code stays. In numbers of ten digits, area code and exchange stay below 2 or from 2 on; a leading 0 stays."""
     code = F.regexp_extract(hit, r"^\+(1(?!\d{0,6}$)|\d{1,3}(?=[ .(-])|\d{2})", 1)
+    trunk = F.regexp_extract(hit, r"^(0)[1-9]\d{1,3}[ /-]\d{6,8}$", 1)
 
     def of(parts: Column) -> Column:
         held, digits = parts["held"], parts["digits"]
         rest = F.substr(digits, F.length(held) + 1, F.length(digits))
         places = F.transform(
             _characters(rest),
-            lambda c, i: F.struct(c.alias("c"), F.when((F.length(rest) == 10) & ((i == 0) | (i == 3)) & c.rlike("^[2-9]$"), "n").otherwise("d").alias("k")),
+            lambda c, i: F.struct(
+                c.alias("c"),
+                F.when((parts["trunk"] == "0") & (i == 0), "x")
+                .when((F.length(rest) == 10) & ((i == 0) | (i == 3)), F.when(c.rlike("^[2-9]$"), "n").otherwise("z"))
+                .otherwise("d")
+                .alias("k"),
+            ),
         )
         moved = _refill(hit, F.concat(held, permute_characters(places, key, "phone")))
         return F.when((F.length(digits) <= 15) & (F.length(rest) >= 6), moved)
 
-    return _let(F.struct(code.alias("held"), F.regexp_replace(hit, "[^0-9]", "").alias("digits")), of)
+    return _let(F.struct(F.concat(code, trunk).alias("held"), trunk.alias("trunk"), F.regexp_replace(hit, "[^0-9]", "").alias("digits")), of)
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -256,31 +302,60 @@ def _email(hit: Column, key: str) -> Column:
     return F.concat(permute_characters(_marked(body), key, "email"), F.substr(hit, F.length(body) + 1, F.length(hit)))
 
 
+def _late(year: Column, month: Column, day: Column, key: str) -> Column:
+    """The image of a date after the 12th of a month, among those, as year, month and day.
+
+    The 13th to 28th, of any month, later days of months that have them each year,
+    and the 29th of February are permuted apart.
+    """
+    spots = F.array(*[F.lit(d * 100 + m) for d, m in _LATE])
+    spot = (F.array_position(spots, (day * 100 + month).cast("int")) - 1).cast("long")
+    early = permute_pair((year - _FIRST_YEAR) * 12 + month - 1, day - 13, _YEARS * 12, 16, key, "day")
+    rest = permute_pair(year - _FIRST_YEAR, spot, _YEARS, len(_LATE), key, "late")
+    leap = F.floor((year - 1904) / 4)
+    leaps = permute_pair(leap % 7, F.floor(leap / 7), 7, 7, key, "leap")
+    parts = lambda y, m, d: F.struct(*[x.cast("int").alias(n) for n, x in zip("ymd", (y, m, d))])
+    return (
+        F.when(day <= 28, _let(early, lambda q: parts(F.floor(q["a"] / 12) + _FIRST_YEAR, q["a"] % 12 + 1, q["b"] + 13)))
+        .when(month == 2, _let(leaps, lambda q: parts((q["b"] * 7 + q["a"]) * 4 + 1904, F.lit(2), F.lit(29))))
+        .otherwise(_let(rest, lambda q: _let(F.get(spots, q["b"].cast("int")), lambda s: parts(q["a"] + _FIRST_YEAR, s % 100, F.floor(s / 100)))))
+    )
+
+
 def _date(hit: Column, key: str) -> Column:
-    """Dates from 1900 to 2099. With slashes the month comes first where that is a date, else the day."""
+    """Dates from 1900 to 2099. With slashes the month comes first where that is a date, else the day.
+
+    A date whose day must come first, as it is above 12, becomes one of these,
+    so that its image can't be read as that of another date.
+    """
     sep = F.regexp_extract(hit, "[-/.]", 0)
 
     def of(p: Column) -> Column:
         one, two, three = (F.get(p, F.lit(i)) for i in range(3))
         year_first = F.length(one) == 4
-        month_first = ~year_first & (sep == "/") & (one.try_cast("int") <= 12) & (two.try_cast("int") <= 31)
+        month_first = ~year_first & (sep == "/") & (one.try_cast("int") <= 12)
         year = F.when(year_first, one).otherwise(three)
         month = F.when(year_first, two).when(month_first, one).otherwise(two)
         day = F.when(year_first, three).when(month_first, two).otherwise(one)
         iso = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-        number = F.datediff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date"))
+        date = F.try_to_date(iso, "yyyy-MM-dd")
+        number = F.datediff(date, F.lit(_FIRST_DAY).cast("date"))
         padded = F.length(one) + F.length(two) + F.length(three) >= 8
 
         def told(new: Column) -> Column:
-            part = lambda f: F.when(padded, F.date_format(new, f * 2)).otherwise(F.date_format(new, f))
-            y, m, d = F.date_format(new, "yyyy"), part("M"), part("d")
+            part = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+            y, m, d = new["y"].cast("string"), part(new["m"]), part(new["d"])
             return F.when(year_first, F.concat_ws("-", y, m, d)).when(month_first, F.concat_ws("-", m, d, y)).otherwise(F.concat_ws("-", d, m, y))
 
-        def moved(n: Column) -> Column:
+        def any_date(n: Column) -> Column:
             pair = permute_pair(n % 17, F.floor(n / 17), 17, 4297, key, "date")
-            return _let(pair, lambda q: _let(F.date_add(F.lit(_FIRST_DAY).cast("date"), (q["b"] * 17 + q["a"]).cast("int")), told))
+            moved = lambda q: F.date_add(F.lit(_FIRST_DAY).cast("date"), (q["b"] * 17 + q["a"]).cast("int"))
+            return _let(pair, lambda q: _let(moved(q), lambda d: F.struct(F.year(d).alias("y"), F.month(d).alias("m"), F.day(d).alias("d"))))
 
-        return _let(number, lambda n: F.when(n.between(0, _DAYS - 1), F.replace(moved(n), F.lit("-"), sep)))
+        day_above = ~year_first & ~month_first & (sep == "/")
+        late = _late(F.year(date), F.month(date), F.day(date), key)
+        moved = F.when(day_above, late).otherwise(any_date(number))
+        return F.when(number.between(0, _DAYS - 1), F.replace(_let(moved, told), F.lit("-"), sep))
 
     return _let(F.split(hit, "[-/.]"), of)
 
@@ -288,10 +363,11 @@ def _date(hit: Column, key: str) -> Column:
 _KINDS: list[tuple[str, str, Callable[[Column, str], Column]]] = [
     ("email", "@", _email),
     ("iban", "^[A-Z]", _iban),
+    ("ip6", "^[0-9A-Fa-f]*:", _ip6),
     ("ip", r"^\d{1,3}(\.\d{1,3}){3}$", _ip),
     ("date", r"^(\d{4}([-/.])\d{2}\2\d{2}|\d{1,2}([-/.])\d{1,2}\3\d{4})$", _date),
     ("ssn", r"^\d{3}-\d{2}-\d{4}$", _ssn),
-    ("phone", r"^([+(]|\d{3}[.-]\d{3}[.-]\d{4}$)", _phone),
+    ("phone", r"^([+(]|\d{3}[.-]\d{3}[.-]\d{4}$|0\d{2,4}[ /-]\d{6,8}$)", _phone),
     ("card", r"^\d", _card),
 ]
 
@@ -315,7 +391,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool
     All rows and columns stay. With ``counts``, columns ``n_replaced`` (bigint)
     and ``kinds`` (array of the kinds replaced, sorted, each once) are added,
     replacing columns of these names. A null text stays null with no
-    replacement. Candidates that fail validation stay as they are, as does
+    replacement, an empty one empty; an empty table gives an empty result, and
+    repeated rows get equal results. Candidates that fail validation stay as they are, as does
     everything between candidates, byte by byte. No exchange is needed: rows
     are treated one by one, and very long texts cost in proportion.
     """
