@@ -131,7 +131,7 @@ def test_links_give_the_components_of_all_pairs(spark, block):
         return x
 
     for l in links:
-        assert bin((l["src"] ^ l["dst"]) & (2**64 - 1)).count("1") <= 64
+        assert bin((l["src"] ^ l["dst"]) & (2**64 - 1)).count("1") <= 2
         a, b = home(at[l["src"]]), home(at[l["dst"]])
         mine[max(a, b)] = min(a, b)
     assert [home(k) for k in range(len(fps))] == [find(k) for k in range(len(fps))]
@@ -172,6 +172,21 @@ def test_suffix_order(strings):
         assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
 
 
+@given(st.lists(st.tuples(*[st.sampled_from([0, 1, 2, 2**63, 2**64 - 1])] * 3), max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_multikey_quicksort(rows):
+    order = suffixes.multikey_quicksort(np.array(rows, np.uint64).reshape(-1, 3))
+    assert order.tolist() == sorted(range(len(rows)), key=lambda i: rows[i])
+
+
+def test_groups_of_documents_are_alike_in_columns_and_arrays(spark):
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 2**63 - 1, *range(0, 4096 * 64, 4096)]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "ord long, text string").withColumn("tag", suffixes.tag_column())
+    rows = df.select("ord", "tag", suffixes.group_column(13).alias("g")).collect()
+    got = suffixes.group_of(np.array([r["ord"] for r in rows]), np.array([r["tag"] for r in rows]), 13)
+    assert got.tolist() == [r["g"] for r in rows] and len(set(got.tolist())) == 13
+
+
 @given(st.lists(st.binary(max_size=12).map(lambda b: bytes(x & 1 for x in b)), min_size=1, max_size=40, unique=True))
 @settings(max_examples=200, deadline=None)
 def test_blind_trie(strings):

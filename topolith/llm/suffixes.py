@@ -13,10 +13,10 @@ windows on average.
 2. Around anchors that are left, the bytes of their windows are sent to
    buckets by anchor; again a task settles equal surroundings itself.
 3. A bucket sorts the suffixes that begin at its anchors, and the reversed
-   texts before them: by machine words down to a shallow depth (a multikey
-   quicksort whose characters are eight bytes), and each remaining group with
-   a longer common prefix by a blind trie, which branches at first differing
-   bytes only. From common-prefix lengths follow the classes of equal windows
+   texts before them: by multikey quicksort (three-way partitions whose
+   characters are words of eight bytes) down to a shallow depth, and each
+   remaining group with a longer common prefix by a blind trie, which branches
+   at first differing bytes only. From common-prefix lengths follow the classes of equal windows
    for each place of the anchor in the window; windows of a class go but for
    those of its least document.
 
@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.materialize import stored
@@ -48,6 +48,10 @@ GATHER = 16 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _LAST = np.iinfo(np.int64).max
+# fixed values: the primes of XXH64
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+#: Parts that rows of one text are dealt to where they meet its hash.
+SALTS = 16
 
 
 # anchors
@@ -191,6 +195,47 @@ class BlindTrie:
         return out, shared
 
 
+def multikey_quicksort(characters: np.ndarray) -> np.ndarray:
+    """Order of the rows of a matrix of characters, each wide as a machine word; equal rows stay in order.
+
+    A group of rows is parted by a pivot's character at the group's depth into
+    rows below, at and above it; the rows at it go on one character deeper. All
+    groups that are not done take their step side by side.
+    """
+    n, depths = characters.shape
+    flat = np.ascontiguousarray(characters.T)
+    order = np.arange(n)
+    begin, size, depth = np.array([0]), np.array([n]), np.array([0])
+    turn = 0
+    while True:
+        open_ = (size > 1) & (depth < depths)
+        begin, size, depth = begin[open_], size[open_], depth[open_]
+        if not len(begin):
+            return order
+        groups = np.repeat(np.arange(len(begin)), size)
+        base = np.cumsum(size) - size
+        at = np.arange(len(groups)) - base[groups] + begin[groups]
+        rows = order[at]
+        key = flat[depth[groups], rows]
+        # the median of three, at places that differ from step to step
+        turn += 1
+        picks = np.sort(np.stack([key[base + (turn * odd) % size] for odd in (7919, 104729, 1299709)]), axis=0)[1]
+        pivot = picks[groups]
+        part = (key >= pivot).astype(np.int64) + (key > pivot)
+        counts = np.bincount(groups * 3 + part, minlength=3 * len(begin)).reshape(-1, 3)
+        inner = np.cumsum(counts, axis=1) - counts
+        target = np.empty(len(at), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(part == k)
+            before = np.cumsum(counts[:, k]) - counts[:, k]
+            g = groups[mine]
+            target[mine] = begin[g] + inner[g, k] + np.arange(len(mine)) - before[g]
+        order[target] = rows
+        begin = (begin[:, None] + inner).ravel()
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        size = counts.ravel()
+
+
 def sort_suffixes(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte strings given by place and size in a buffer, and common-prefix lengths.
 
@@ -205,7 +250,8 @@ def sort_suffixes(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tu
     heads = np.where(inside, buffer[np.minimum(at, len(buffer) - 1)], 0).astype(np.uint8)
     words = np.ascontiguousarray(heads).view(">u8").astype(np.uint64)
     held = np.minimum(size, shallow)
-    order = np.lexsort((held, words[:, 1], words[:, 0]))
+    # the length is the last character: a string's end comes before all bytes
+    order = multikey_quicksort(np.column_stack((words, held.astype(np.uint64))))
     w, s = words[order], held[order]
     common = np.full(n, -1, np.int64)
     differ = w[1:] ^ w[:-1]
@@ -322,7 +368,7 @@ class Documents:
     def by_group(self, groups: int, rows: np.ndarray, *arrays: np.ndarray, shift: int = 0) -> list[tuple]:
         """Packed rows with up to three arrays, one for each group of documents."""
         out = []
-        group = np.mod(self.ord[rows], groups)
+        group = group_of(self.ord, self.tag, groups)[rows]
         order = np.lexsort((arrays[0], rows, group))
         group, rows, arrays = group[order], rows[order], [x[order] for x in arrays]
         for a, b in _stretches(group):
@@ -331,6 +377,30 @@ class Documents:
         return out
 
 
+def group_of(ord_: np.ndarray, tag: np.ndarray, groups: int) -> np.ndarray:
+    """The group of documents that each belongs to, as ``group_column`` has it; follows from id and text, so ids may share any factor."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in _PRIMES)
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        x = ord_.astype(np.int64).view(np.uint64) ^ (tag.astype(np.uint64) << np.uint64(31))
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turned(x * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return np.mod(h.view(np.int64), groups)
+
+
+def group_column(groups: int, ord_: str = "ord", tag: str = "tag") -> Column:
+    mixed = F.col(ord_).bitwiseXOR(F.shiftleft(F.col(tag), 31))
+    return F.pmod(F.xxhash64(mixed), F.lit(groups)).cast("int")
+
+
+def tag_column(text: str = "text") -> Column:
+    """The low 32 bits of a text's hash."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def tags(texts: list[bytes]) -> np.ndarray:
     """The low 32 bits of what SQL's xxhash64 gives for texts."""
     return np.array([xxhash.xxh64_intdigest(t, 42) & 0xFFFFFFFF for t in texts], np.int64)
@@ -588,25 +658,29 @@ def remove_repeated(
 
     One row for each input row. Null texts count as empty. Rows of one id
     don't remove each other's bytes; rows without an id (null) come after all
-    others. Texts shorter than ``length`` bytes keep all. ``length`` must lie
+    others. Repeated rows get equal results; of equal texts that of the least id keeps all. Texts shorter than
+    ``length`` bytes keep all; longer ones are read whole. ``length`` must lie
     between 17 and 271. Ids must be whole numbers. An empty table gives an
-    empty result; other columns are left out.
+    empty result; other columns are left out, whatever their names.
     """
     if not SEED < length <= 255 + SEED:
         raise ValueError(f"length must be above {SEED} and at most {255 + SEED}")
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), text_or_empty(text_col).alias("text"))
-    hashed = base.select("ord", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), F.unhex(F.sha2("text", 256)).alias("h"))
+    salt = F.pmod(F.xxhash64("ord"), F.lit(SALTS)).alias("salt")
+    hashed = base.select("ord", tag_column().alias("tag"), F.unhex(F.sha2("text", 256)).alias("h"), salt)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups, buckets = (max(1, -(-total // size)) for size in (GROUP, BUCKET))
 
-    key = F.pmod(F.col("ord"), F.lit(groups)).cast("int").alias("key")
+    key = group_column(groups).alias("key")
     blank = [F.lit(None).cast("binary").alias(n) for n in _NAMES[3:]]
-    several = hashed.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least <> most").select("h", "least")
-    copies = stored(hashed.join(several, "h").where("ord > least").select(key, "ord", "tag", *blank).distinct())
+    several = hashed.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least <> most")
+    # a text may have very many copies: they meet the least one's id in several parts
+    several = several.select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    copies = stored(hashed.join(several, ["h", "salt"]).where("ord > least").select(key, "ord", "tag", *blank).distinct())
 
     # one exchange of the texts serves both steps that need them: the plans of its two uses are equal
-    keyed = base.select("id", "ord", "text", key)
+    keyed = base.withColumn("tag", tag_column()).select("id", "ord", "text", key)
     long_enough = base.where(F.octet_length("text") >= length)
     places = long_enough.select("ord", "text").mapInArrow(_gather(length, buckets, groups), _BLOBS).groupBy("key").applyInArrow(_repeated(buckets, groups), _BLOBS)
     around = keyed.groupBy("key").cogroup(places.unionByName(copies).groupBy("key")).applyInArrow(_surroundings(length, buckets, groups), _BLOBS)
