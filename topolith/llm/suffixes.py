@@ -676,7 +676,7 @@ def remove_repeated(
     blank = [F.lit(None).cast("binary").alias(n) for n in _NAMES[3:]]
     several = hashed.groupBy("h").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least <> most")
     # a text may have very many copies: they meet the least one's id in several parts
-    several = several.select("h", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+    several = several.select("h", "least", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     copies = stored(hashed.join(several, ["h", "salt"]).where("ord > least").select(key, "ord", "tag", *blank).distinct())
 
     # one exchange of the texts serves both steps that need them: the plans of its two uses are equal
