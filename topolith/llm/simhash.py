@@ -8,7 +8,7 @@ meet (an equi-join on the tile's key); all other pairs of tiles are skipped.
 Within a pair of tiles numpy takes exclusive-or and bit counts of whole blocks.
 
 Tiles are cut into blocks of bounded size, and a pair of blocks returns a
-spanning forest of its links instead of all of them, so that a group of n
+star for each component of its links instead of all of them, so that a group of n
 near copies costs O(n) rows. Skipping is strong enough for about 10^8 distinct
 fingerprints; work per pair of tiles then still grows with the square of a
 tile's size, spread over blocks, so that more machines shorten it.
@@ -16,6 +16,7 @@ tile's size, spread over blocks, so that more machines shorten it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the graph of links i-j over n nodes."""
+    """A star for each component of the graph of links i-j over n nodes: its nodes and its least one."""
     label = np.arange(n)
     while True:
         low = np.minimum(label[i], label[j])
@@ -89,7 +90,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two blocks, or within one, as far as a spanning forest has them."""
+    """Stars of the components that links between two blocks, or within one, make."""
     found_i, found_j, step = [], [], 256
     for k in range(0, len(a), step):
         near = np.bitwise_count(a[k : k + step, None] ^ b[None, :]) <= radius
@@ -111,8 +112,8 @@ def _links(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
 def tile_links(fps: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
     """Links between distinct fingerprints (column ``fp``) of ``radius`` bits or fewer.
 
-    Returns ``src`` and ``dst``: for each pair of blocks a spanning forest of
-    its links, so that components are those of all links.
+    Returns ``src`` and ``dst``: for each pair of blocks a star for each
+    component of its links, so that components are those of all links.
     """
     word = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(65535))) for k in range(4)]
     # six bits for a count of 0 to 16; with the radius added, no step leaves its field
@@ -171,7 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reach, the document itself included. One row for each input row: repeated
     rows stay; null and empty texts share fingerprint zero and are linked like
     any other; a null id is never the smallest unless a component has no
-    other. An empty table gives an empty result; other columns are left out.
+    other. Very long texts are read whole. An empty table gives an empty result;
+    other columns are left out, whatever their names.
     """
     marked = stored(fingerprints(docs, id_col, text_col, shingle))
     classes = stored(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
@@ -186,36 +188,213 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents left when one of each component stays: that of the smallest id.
+# texts that are alike, rather than fingerprints that are near
 
-    All columns come back. Of several rows of one id one stays, the one of the
-    smallest text; an id goes if one of its rows lies in a component of a
-    smaller id. Rows without an id stay only where a component has none with
-    one, and then one of each component (the smallest fingerprint and text).
+#: Tables of tiles, and least hashes that a tile's key has.
+TABLES, ROWS = 6, 2
+#: Texts and shingles of a block at most, about.
+TEXTS, SHINGLES = 1024, 1 << 21
+
+
+def radius_for(similarity: float, bits: int = 64) -> int:
+    """Bits in which fingerprints of texts of this similarity differ, but for one pair in a thousand.
+
+    Sets with a Jaccard similarity s make an angle whose cosine is 2s / (1 + s)
+    at least; a bit differs with a chance of that angle over pi.
+    """
+    chance = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(bits * chance + 3 * math.sqrt(bits * chance * (1 - chance)))
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles, sorted; of the whole word sequence where that is shorter."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts = np.concatenate(([0], gaps + 1))[: len(words) - shingle + 1]
+    ends = np.concatenate((gaps, [len(line)]))[shingle - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
+
+
+def _bits(h: np.ndarray) -> int:
+    """The fingerprint of a set of hashes."""
+    counts, step = np.zeros(64, np.int64), 1 << 16
+    for i in range(0, len(h), step):
+        counts += np.unpackbits(h[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(TABLES * ROWS)], np.uint64)
+
+
+def _tile_keys(h: np.ndarray) -> list[int]:
+    """For each table a hash of the least of the set's hashes, mixed anew for each."""
+    if not len(h):
+        return [0] * TABLES
+    with np.errstate(over="ignore"):
+        mixed = np.array([(x := (h ^ (h >> np.uint64(29))) * odd, (x ^ (x >> np.uint64(32))).min())[1] for odd in _ODD], np.uint64)
+        key = np.zeros(TABLES, np.uint64)
+        for k in range(ROWS):
+            key = (key ^ mixed[k::ROWS]) * _ODD[0]
+            key ^= key >> np.uint64(31)
+    return key.view(np.int64).tolist()
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id``, ``th`` (the text's hash), ``cls`` (its shingles' hash), ``fp``, ``n``, ``tiles`` and ``grams`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 8 << 20):
+            cls, fps, sizes, tiles, grams = [], [], [], [], []
+            for x in to_bytes(batch.column("text")):
+                h = shingle_set(x, shingle)
+                cls.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
+                fps.append(_bits(h))
+                sizes.append(len(h))
+                tiles.append(_tile_keys(h))
+                grams.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+            signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
+            arrays = [batch.column("id"), batch.column("th"), signed(cls), signed(fps), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.int64())), pa.array(grams, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "cls", "fp", "n", "tiles", "grams"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = text_or_empty(text_col)
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return source.mapInArrow(run, f"id {kind}, th long, cls long, fp long, n long, tiles array<long>, grams binary")
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def alike_links(fps: list[np.ndarray], grams: list[list[bytes]], similarity: float, radius: int, step: int = 256) -> list[tuple[int, int]]:
+    """Links between texts of one block, or of two, that connect all that are alike; numbers run on from the first block to the second.
+
+    Exclusive-or and bit counts of all pairs leave the near ones; of these, nearest
+    first, shingles are compared unless other links connect the pair already.
+    """
+    same = len(fps) == 1
+    a, b = fps[0], fps[-1]
+    sets = [np.frombuffer(g, np.uint32) for block in grams for g in block]
+    size = np.array([len(x) for x in sets])
+    shift = 0 if same else len(a)
+    ones = [np.bitwise_count(x).astype(np.int64) for x in (a, b)]
+    if not len(a) or not len(b) or ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
+        return []  # population counts differ beyond the radius
+    near_i, near_j, near_d = [], [], []
+    for k in range(0, len(a), step):
+        d = np.bitwise_count(a[k : k + step, None] ^ b[None, :])
+        i, j = np.nonzero(d <= radius)
+        d = d[i, j]
+        i, j = i + k, j + shift
+        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        ok &= (i < j) if same else True
+        near_i.append(i[ok])
+        near_j.append(j[ok])
+        near_d.append(d[ok])
+    i, j, d = map(np.concatenate, (near_i, near_j, near_d))
+    order = np.argsort(d, kind="stable")
+    i, j = i[order], j[order]
+    label, out, chunk = np.arange(len(sets)), [], 64
+    while len(i):
+        for x, y in zip(i[:chunk].tolist(), j[:chunk].tolist()):
+            if label[x] != label[y] and _alike(sets[x], sets[y], similarity):
+                out.append((x, y))
+                label[label == max(label[x], label[y])] = min(label[x], label[y])
+        i, j = i[chunk:], j[chunk:]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return out
+
+
+def _alike_in(blocks: DataFrame, names: list[str], similarity: float, radius: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for row in range(batch.num_rows):
+                held = [batch.column(n)[row].as_py() for n in names]
+                cls = [x["cls"] for block in held for x in block]
+                fps = [np.array([x["fp"] for x in block], np.int64).view(np.uint64) for block in held]
+                for i, j in alike_links(fps, [[x["grams"] for x in block] for block in held], similarity, radius):
+                    src.append(cls[i])
+                    dst.append(cls[j])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return blocks.select(*names).mapInArrow(run, "src long, dst long")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id``, ``th`` (xxhash64 of the text) and ``component`` of each row, for texts whose shingles are alike.
+
+    Components are those of links between texts whose sets of shingles have a
+    Jaccard similarity of ``similarity`` or more. Texts with equal sets collapse
+    first. Fingerprints of similar texts differ in ten of 64 bits on average,
+    so that population counts alone skip little; tiles are texts that share two
+    least hashes in one of six tables, which at 0.8 loses two pairs in a thousand.
+    In a tile, and between the blocks of a large one, exclusive-or and bit counts leave
+    the near pairs, and their shingles decide. Tiles of very common shingles cost
+    the square of their texts in bit counts, spread over pairs of blocks.
+
+    Null and empty texts are alike. One row for each input row; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(gone, named[id_col] == gone["_gone"], "left_anti")
-    kept = _first(kept, [id_col], [text_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return kept
-    # fingerprints of components without any id; a fingerprint stands for its rows
-    bare = found.where(F.col("component_id").isNull()).select("fp").distinct()
-    group = connected_components(tile_links(bare, options.get("radius", 2))).select(F.col("node").alias("fp"), "component")
-    heads = stored(bare.join(group, "fp", "left").where(F.coalesce("component", "fp") == F.col("fp")).select(F.col("fp").alias("_fp")))
-    marked = nameless.withColumn("_fp", _fingerprint_of(options.get("shingle", 3))(text_or_empty(text_col)))
-    return kept.unionByName(_first(marked.join(heads, "_fp", "left_semi"), ["_fp"], [text_col]).drop("_fp"))
-
-
-def _fingerprint_of(shingle: int):
-    @F.arrow_udf("long")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([simhash(x, shingle) for x in to_bytes(texts)], dtype=np.uint64).view(np.int64))
-
-    return of
+    radius = radius_for(similarity)
+    marked = stored(_marks(docs, id_col, text_col, shingle))
+    classes = stored(marked.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("tiles").alias("tiles")))
+    keyed = classes.where("n > 0").select("cls", "fp", "n", F.posexplode("tiles").alias("at", "tile"))
+    tiles = keyed.groupBy("at", "tile").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
+    parts = F.ceil(F.greatest(F.col("texts") / TEXTS, F.col("shingles") / SHINGLES)).cast("long")
+    shared = stored(keyed.join(tiles.select("at", "tile", parts.alias("parts")), ["at", "tile"]).select("at", "tile", "parts", "cls", "fp"))
+    grams = marked.select("cls", "grams").join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
+    blocks = stored(
+        shared.join(grams, "cls")
+        .groupBy("at", "tile", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("cls", "fp", "grams")).alias("block"))
+    )
+    within = _alike_in(blocks, ["block"], similarity, radius)
+    large = blocks.where("parts > 1")
+    other = large.select("at", "tile", F.col("part").alias("part_b"), F.col("block").alias("block_b"))
+    across = _alike_in(large.join(other, ["at", "tile"]).where("part < part_b"), ["block", "block_b"], similarity, radius)
+    linked = connected_components(within.unionByName(across)).withColumnRenamed("node", "cls")
+    return marked.select("id", "th", "cls").join(linked, "cls", "left").select("id", "th", F.coalesce("component", "cls").alias("component"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents left when one of each group of similar texts stays: that of the smallest id.
+
+    Groups are those of ``similar_texts``. All columns come back as they are. Of
+    several rows of one id in a group the one with the smallest text hash stays, and of
+    rows equal in id and text one; rows of one id in different groups stay each. Rows
+    without an id come after all others, so one of them stays only where its group has none with an
+    id. An empty table gives an empty result.
+    """
+    held = stored(similar_texts(docs, id_col, text_col, shingle, similarity))
+    nameless = F.col("id").isNull()
+    heads = held.groupBy("component").agg(F.min(F.struct(nameless.alias("nameless"), "id", "th")).alias("head"), F.count(F.lit(1)).alias("size"))
+    head = heads.select("component", "size", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
+    own = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
+    told = stored(held.join(head.where("size > 1"), "component").select("id", "th", own.alias("own")).groupBy("id", "th").agg(F.bool_or("own").alias("own"), F.count(F.lit(1)).alias("rows")))
+    mark = "_th"
+    while mark in docs.columns:
+        mark += "_"
+    marked = docs.withColumn(mark, F.xxhash64(text_or_empty(text_col)))
+
+    def meets(which: DataFrame):
+        return marked[id_col].eqNullSafe(which["_id"]) & (marked[mark] == which["_text"])
+
+    def named(where: str) -> DataFrame:
+        return told.where(where).select(F.col("id").alias("_id"), F.col("th").alias("_text"))
+
+    # the heads of groups that come in several equal rows are dealt with apart, so that others needn't move
+    away, several = named("not own or rows > 1"), named("own and rows > 1")
+    alone = marked.join(away, meets(away), "left_anti")
+    one = _first(marked.join(several, meets(several), "left_semi"), [id_col, mark], [text_col])
+    return alone.unionByName(one).drop(mark)
 
 
 def _first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
