@@ -15,58 +15,88 @@ TABLES = ("customer", "supplier", "nation", "part", "orders", "lineitem", "event
 
 SQL = {
     "fx_points": """
-        SELECT c_custkey AS fid, CAST(c_custkey * 7 % 101 AS DOUBLE) AS x, CAST(CAST(floor(c_acctbal) AS BIGINT) % 97 AS DOUBLE) AS y
-        FROM customer WHERE c_acctbal >= 0""",
+        SELECT c_custkey AS fid, CAST(floor(c_custkey / 4) AS DOUBLE) AS x, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 7 AS DOUBLE) AS y
+        FROM customer""",
     "fx_points_other": """
-        SELECT s_suppkey AS fid, CAST(s_suppkey * 13 % 101 AS DOUBLE) AS x, CAST(CAST(floor(s_acctbal) AS BIGINT) % 97 AS DOUBLE) AS y
-        FROM supplier WHERE s_acctbal >= 0""",
+        SELECT s_suppkey AS fid, CAST(s_suppkey * 4 AS DOUBLE) AS x, CAST(CAST(floor(abs(s_acctbal)) AS BIGINT) % 7 AS DOUBLE) AS y
+        FROM supplier""",
     "fx_zones": """
-        SELECT CAST(s_suppkey AS BIGINT) AS fid, CAST(s_suppkey * 9 AS DOUBLE) AS x0, CAST(s_suppkey * 7 AS DOUBLE) AS y0,
-               CAST(s_suppkey * 9 + 14 AS DOUBLE) AS x1, CAST(s_suppkey * 7 + 11 AS DOUBLE) AS y1
-        FROM supplier WHERE s_suppkey < 10""",
+        SELECT CAST(s_suppkey AS BIGINT) AS fid, CAST(s_suppkey * 4 AS DOUBLE) AS x0, CAST(s_suppkey % 3 AS DOUBLE) AS y0,
+               CAST(s_suppkey * 4 + 5 AS DOUBLE) AS x1, CAST(s_suppkey % 3 + 3 AS DOUBLE) AS y1
+        FROM supplier""",
     "fx_zones2": """
-        SELECT CAST(n_nationkey AS BIGINT) AS fid, CAST(n_nationkey % 5 * 45 AS DOUBLE) AS x0, CAST(floor(n_nationkey / 5) * 45 AS DOUBLE) AS y0,
-               CAST(n_nationkey % 5 * 45 + 40 AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) * 45 + 40 AS DOUBLE) AS y1
-        FROM nation""",
+        SELECT CAST(s_suppkey AS BIGINT) AS fid, CAST(s_suppkey * 20 AS DOUBLE) AS x0, CAST(s_suppkey % 5 * 40 AS DOUBLE) AS y0,
+               CAST(s_suppkey * 20 + 18 AS DOUBLE) AS x1, CAST(s_suppkey % 5 * 40 + 36 AS DOUBLE) AS y1
+        FROM supplier""",
+    # a band 200 high that grows to the right with the table
     "fx_seg": """
-        SELECT l_orderkey AS fid, CAST(l_partkey % 200 AS DOUBLE) AS x1, CAST(l_suppkey * 3 % 200 AS DOUBLE) AS y1,
-               CAST(l_partkey % 200 + l_linenumber - 4 AS DOUBLE) AS x2,
+        SELECT l_orderkey AS fid, CAST(l_partkey AS DOUBLE) AS x1, CAST(l_suppkey * 3 % 200 AS DOUBLE) AS y1,
+               CAST(l_partkey + l_linenumber - 4 AS DOUBLE) AS x2,
                CAST(l_suppkey * 3 % 200 + CAST(floor(l_quantity) AS BIGINT) % 7 - 3 AS DOUBLE) AS y2
-        FROM lineitem WHERE l_orderkey % 20 = 0""",
+        FROM lineitem""",
     "fx_seg_other": """
-        SELECT l_orderkey AS fid, CAST(l_partkey % 200 AS DOUBLE) AS x1, CAST(l_suppkey * 3 % 200 AS DOUBLE) AS y1,
-               CAST(l_partkey % 200 + (l_linenumber - 4) / 2 AS DOUBLE) AS x2,
-               CAST(l_suppkey * 3 % 200 + (CAST(floor(l_quantity) AS BIGINT) % 7 - 3) / 2 AS DOUBLE) AS y2
-        FROM lineitem WHERE l_orderkey % 40 = 0""",
+        SELECT l_orderkey AS fid, CAST(l_partkey AS DOUBLE) AS x1, CAST(l_suppkey * 3 % 200 AS DOUBLE) AS y1,
+               CAST(l_partkey + (l_linenumber - 4) / 2.0 AS DOUBLE) AS x2,
+               CAST(l_suppkey * 3 % 200 + (CAST(floor(l_quantity) AS BIGINT) % 7 - 3) / 2.0 AS DOUBLE) AS y2
+        FROM lineitem""",
+    # lines of twenty vertices, each within a window of its own that overlaps its neighbours'
     "fx_vertex": """
-        SELECT user_id * 1000 + CAST(floor(event_id / 500) AS BIGINT) AS fid, event_id AS ord, CAST(event_id * 7919 % 31 AS DOUBLE) AS x,
-               CAST(CAST(floor(value) AS BIGINT) % 29 AS DOUBLE) AS y
-        FROM events WHERE user_id < 5""",
+        SELECT CAST(floor(event_id / 20) AS BIGINT) AS fid, event_id AS ord, CAST(event_id * 7919 % 31 + CAST(floor(event_id / 20) AS BIGINT) * 20 AS DOUBLE) AS x,
+               CAST(CAST(floor(abs(value)) AS BIGINT) % 29 AS DOUBLE) AS y
+        FROM events""",
     "fx_zig": """
         SELECT o_orderkey AS fid, v.ord AS ord,
                CAST(CASE v.ord WHEN 0 THEN 0 WHEN 1 THEN 2 + o_custkey % 5 ELSE o_orderkey % 8 + 0.5 END AS DOUBLE) AS x,
                CAST(CASE v.ord WHEN 3 THEN 1 ELSE 0 END AS DOUBLE) AS y
         FROM orders CROSS JOIN (VALUES (0),(1),(2),(3)) AS v(ord)""",
     "fx_boxes": """
-        SELECT p_partkey AS fid, CAST(p_partkey * 37 % 1000 AS DOUBLE) AS x0, CAST(p_partkey * 53 % 997 AS DOUBLE) AS y0,
-               CAST(p_partkey * 37 % 1000 + 1 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 53 % 997 + 1 + p_partkey % 17 AS DOUBLE) AS y1
+        SELECT p_partkey AS fid, CAST(p_partkey * 37 % 1000 + floor(p_partkey / 1000) * 1000 AS DOUBLE) AS x0, CAST(p_partkey * 53 % 997 AS DOUBLE) AS y0,
+               CAST(p_partkey * 37 % 1000 + floor(p_partkey / 1000) * 1000 + 1 + p_size AS DOUBLE) AS x1, CAST(p_partkey * 53 % 997 + 1 + p_partkey % 17 AS DOUBLE) AS y1
         FROM part""",
     "fx_boxes_other": """
-        SELECT s_suppkey AS fid, CAST(s_suppkey * 41 % 1000 AS DOUBLE) AS x0, CAST(s_suppkey * 59 % 997 AS DOUBLE) AS y0,
-               CAST(s_suppkey * 41 % 1000 + 60 AS DOUBLE) AS x1, CAST(s_suppkey * 59 % 997 + 60 AS DOUBLE) AS y1
+        SELECT s_suppkey AS fid, CAST(s_suppkey * 41 % 1000 + floor(s_suppkey / 50) * 1000 AS DOUBLE) AS x0, CAST(s_suppkey * 59 % 997 AS DOUBLE) AS y0,
+               CAST(s_suppkey * 41 % 1000 + floor(s_suppkey / 50) * 1000 + 60 AS DOUBLE) AS x1, CAST(s_suppkey * 59 % 997 + 60 AS DOUBLE) AS y1
         FROM supplier""",
+    # unit cells side by side; those of some sizes are smaller and stand free
     "fx_cells": """
-        SELECT p_partkey AS fid, CAST(p_partkey % 40 AS DOUBLE) AS x0, CAST(floor(p_partkey / 40) AS DOUBLE) AS y0,
-               CAST(p_partkey % 40 + 1 AS DOUBLE) AS x1, CAST(floor(p_partkey / 40) + 1 AS DOUBLE) AS y1
-        FROM part WHERE p_size % 5 <> 0""",
+        SELECT p_partkey AS fid, p_partkey % 40 + CASE WHEN p_size % 5 = 0 THEN 0.25E0 ELSE 0.0E0 END AS x0, floor(p_partkey / 40) + CASE WHEN p_size % 5 = 0 THEN 0.25E0 ELSE 0.0E0 END AS y0,
+               p_partkey % 40 + CASE WHEN p_size % 5 = 0 THEN 0.75E0 ELSE 1.0E0 END AS x1, floor(p_partkey / 40) + CASE WHEN p_size % 5 = 0 THEN 0.75E0 ELSE 1.0E0 END AS y1
+        FROM part""",
+    # rows of lines end to end, broken where one is raised; a spur at some nodes, else apart from them
     "fx_chain": """
-        SELECT o_orderkey * 2 AS fid, CAST(o_orderkey % 50 AS DOUBLE) AS x1, CAST(floor(o_orderkey / 50) AS DOUBLE) AS y1,
-               CAST(o_orderkey % 50 + 1 AS DOUBLE) AS x2, CAST(floor(o_orderkey / 50) AS DOUBLE) AS y2
-        FROM orders WHERE o_orderkey % 50 <> 49 AND o_orderkey % 7 <> 0
+        SELECT o_orderkey * 2 AS fid, CAST(o_orderkey % 50 AS DOUBLE) AS x1, floor(o_orderkey / 50) + CASE WHEN o_orderkey % 50 = 49 OR o_orderkey % 7 = 0 THEN 0.25E0 ELSE 0.0E0 END AS y1,
+               CAST(o_orderkey % 50 + 1 AS DOUBLE) AS x2, floor(o_orderkey / 50) + CASE WHEN o_orderkey % 50 = 49 OR o_orderkey % 7 = 0 THEN 0.25E0 ELSE 0.0E0 END AS y2
+        FROM orders
         UNION ALL
-        SELECT o_orderkey * 2 + 1 AS fid, CAST(o_orderkey % 50 AS DOUBLE), CAST(floor(o_orderkey / 50) AS DOUBLE), CAST(o_orderkey % 50 AS DOUBLE),
-               CAST(floor(o_orderkey / 50) + 0.5 AS DOUBLE)
-        FROM orders WHERE o_orderkey % 35 = 3""",
+        SELECT o_orderkey * 2 + 1 AS fid, o_orderkey % 50 + CASE WHEN o_orderkey % 35 = 3 THEN 0.0E0 ELSE 0.25E0 END, floor(o_orderkey / 50) + CASE WHEN o_orderkey % 35 = 3 THEN 0.0E0 ELSE 0.5E0 END,
+               o_orderkey % 50 + CASE WHEN o_orderkey % 35 = 3 THEN 0.0E0 ELSE 0.25E0 END, floor(o_orderkey / 50) + CASE WHEN o_orderkey % 35 = 3 THEN 0.5E0 ELSE 0.75E0 END
+        FROM orders""",
+    # four sides of a square as lines of their own, two of them backwards, and a line that meets every third square's upper right corner
+    "fx_ring": """
+        SELECT p_partkey * 5 + v.i AS fid,
+               CAST(p_partkey % 100 * 3 + CASE v.i WHEN 1 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS DOUBLE) + CASE WHEN v.i = 4 AND p_partkey % 3 <> 0 THEN 0.25E0 ELSE 0.0E0 END AS x1,
+               CAST(floor(p_partkey / 100) * 3 + CASE v.i WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 0 END AS DOUBLE) + CASE WHEN v.i = 4 AND p_partkey % 3 <> 0 THEN 0.25E0 ELSE 0.0E0 END AS y1,
+               CAST(p_partkey % 100 * 3 + CASE v.i WHEN 3 THEN 0 ELSE 2 END AS DOUBLE) + CASE WHEN v.i = 4 THEN 0.5E0 ELSE 0.0E0 END AS x2,
+               CAST(floor(p_partkey / 100) * 3 + CASE v.i WHEN 0 THEN 0 ELSE 2 END AS DOUBLE) + CASE WHEN v.i = 4 THEN 0.5E0 ELSE 0.0E0 END AS y2
+        FROM part CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS v(i)""",
+    # an L: a lying box of width w and height 2, and a standing one of width 2 up to height h
+    "fx_ells": """
+        SELECT p_partkey AS fid, CAST(floor(p_partkey / 20) * 6 AS DOUBLE) AS x, CAST(p_partkey % 20 * 3 AS DOUBLE) AS y, CAST(3 + p_partkey % 4 AS DOUBLE) AS w, CAST(4 + p_partkey % 3 AS DOUBLE) AS h
+        FROM part""",
+    # a box of side s with a square hole of side 2 two units in
+    "fx_frames": """
+        SELECT p_partkey AS fid, CAST(floor(p_partkey / 20) * 5 AS DOUBLE) AS x, CAST(p_partkey % 20 * 4 AS DOUBLE) AS y, CAST(6 + p_partkey % 3 AS DOUBLE) AS s
+        FROM part""",
+    # a square on its corner, r from its middle
+    "fx_diamonds": """
+        SELECT p_partkey AS fid, CAST(floor(p_partkey / 20) * 5 AS DOUBLE) AS x, CAST(p_partkey % 20 * 4 AS DOUBLE) AS y, CAST(3 + p_partkey % 3 AS DOUBLE) AS r
+        FROM part""",
+    # short lines, level or upright, near the shapes above
+    "fx_level": """
+        SELECT o_orderkey AS fid, CAST(o_custkey % 21 + floor(o_orderkey / 60) * 3 AS DOUBLE) AS x1, CAST(o_orderkey % 60 + 0 AS DOUBLE) AS y1,
+               CAST(o_custkey % 21 + floor(o_orderkey / 60) * 3 + CASE WHEN o_orderkey % 2 = 0 THEN 1 + o_custkey % 3 ELSE 0 END AS DOUBLE) AS x2,
+               CAST(o_orderkey % 60 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 1 + o_custkey % 3 END AS DOUBLE) AS y2
+        FROM orders""",
     # a feature of each kind in turn; its shape follows from a corner (x, y) and a size s
     "fx_kinds": """
         SELECT p_partkey AS fid, CAST(p_partkey % 7 AS INT) AS k, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(floor(p_partkey / 100) AS DOUBLE) AS y,
@@ -110,6 +140,26 @@ def box_polygons(boxes: DataFrame) -> DataFrame:
     return boxes.select("fid", F.lit(0).alias("part"), box_rings(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("rings"))
 
 
+def ell_polygons(ells: DataFrame) -> DataFrame:
+    """``fid, part, rings`` of rows of ``fx_ells``."""
+    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
+    ring = line_of(x, y, x + w, y, x + w, y + 2, x + 2, y + 2, x + 2, y + h, x, y + h, x, y)
+    return ells.select("fid", F.lit(0).alias("part"), F.array(ring).alias("rings"))
+
+
+def frame_polygons(frames: DataFrame) -> DataFrame:
+    """``fid, part, rings`` of rows of ``fx_frames``: an exterior and a hole."""
+    x, y, s = (F.col(c) for c in ("x", "y", "s"))
+    outer, hole = (line_of(a, b, a + t, b, a + t, b + t, a, b + t, a, b) for a, b, t in ((x, y, s), (x + 2, y + 2, F.lit(2.0))))
+    return frames.select("fid", F.lit(0).alias("part"), F.array(outer, F.reverse(hole)).alias("rings"))
+
+
+def diamond_polygons(diamonds: DataFrame) -> DataFrame:
+    """``fid, part, rings`` of rows of ``fx_diamonds``."""
+    x, y, r = (F.col(c) for c in ("x", "y", "r"))
+    return diamonds.select("fid", F.lit(0).alias("part"), F.array(line_of(x - r, y, x, y - r, x + r, y, x, y + r, x - r, y)).alias("rings"))
+
+
 def kind_features(kinds: DataFrame) -> DataFrame:
     """Features of ``fx_kinds``: a point or line or box of size s at (x, y); in multiparts a second one 200 to the right."""
     x, y, s = F.col("x"), F.col("y"), F.col("s")

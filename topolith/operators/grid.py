@@ -14,6 +14,8 @@ adaptive execution, as any skewed join. Nothing is broadcast by hand.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,11 @@ def _side() -> Column:
     return F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
 
 
-def _measure(df: DataFrame) -> tuple[float, float]:
-    row = df.agg(F.avg(_side()), F.max(_side())).first()
-    return float(row[0] or 0.0), float(row[1] or 0.0)
+def _measure(sides: list[DataFrame]) -> list[tuple[float, float]]:
+    """Mean and greatest side of the boxes of each input, in one job."""
+    rows = [df.agg(F.avg(_side()).alias("mean"), F.max(_side()).alias("most")).select(F.lit(k).alias("k"), "mean", "most") for k, df in enumerate(sides)]
+    found = {r["k"]: r for r in reduce(DataFrame.unionAll, rows).collect()}
+    return [(float(found[k]["mean"] or 0.0), float(found[k]["most"] or 0.0)) for k in range(len(sides))]
 
 
 def _level(cell: float) -> Column:
@@ -78,12 +82,13 @@ def _tiles(df: DataFrame, level: Column, cell: float) -> DataFrame:
     )
 
 
-def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in ("_lv", "_cx", "_cy") else prefix + c) for c in df.columns])
+def _prefixed(df: DataFrame, prefix: str, same: tuple[str, ...]) -> DataFrame:
+    shared = [F.col(c).alias("_k_" + c) for c in same]
+    return df.select(*[F.col(c).alias(c if c in ("_lv", "_cx", "_cy") else prefix + c) for c in df.columns], *shared)
 
 
-def _meet(home: DataFrame, probe: DataFrame, one: str, two: str) -> DataFrame:
-    pairs = home.join(probe, ["_lv", "_cx", "_cy"])
+def _meet(home: DataFrame, probe: DataFrame, one: str, two: str, same: tuple[str, ...]) -> DataFrame:
+    pairs = home.join(probe, ["_lv", "_cx", "_cy", *["_k_" + c for c in same]])
     lower = {c: F.greatest(F.col(f"a_min{c}"), F.col(f"b_min{c}")) for c in "xy"}
     upper = {c: F.least(F.col(f"a_max{c}"), F.col(f"b_max{c}")) for c in "xy"}
     size = F.col(one + "_size")
@@ -95,21 +100,22 @@ def _meet(home: DataFrame, probe: DataFrame, one: str, two: str) -> DataFrame:
     )
 
 
-def grid_join(a: DataFrame, b: DataFrame | None = None, order: Column | None = None, cell: float | None = None) -> DataFrame:
+def grid_join(a: DataFrame, b: DataFrame | None = None, order: Column | None = None, cell: float | None = None, same: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows with intersecting (closed) boxes; columns come back prefixed ``a_`` and ``b_``.
 
     Inputs carry ``minx, miny, maxx, maxy``; rows where one is null or no
     number are left out. Without ``b``, pairs are unordered pairs of rows of
     ``a`` told apart by ``order`` (a boolean column over both prefixes that
     holds for exactly one of two orders). ``cell`` is the finest tile's side,
-    by default twice the mean side of the boxes.
+    by default twice the mean side of the boxes. Only rows equal in the columns
+    ``same`` are paired, if any are given.
     """
     known = " and ".join(f"{c} is not null and not isnan({c})" for c in BOX)
     own = b is None
     sides = [a.where(known)] if own else [a.where(known), b.where(known)]
     if own and order is None:
         raise ValueError("a self-join needs an order")
-    measured = [_measure(s) for s in sides]
+    measured = _measure(sides)
     mean, widest = max(m for m, _ in measured), max(w for _, w in measured)
     cell = cell or (2 * mean if mean > 0 else 1.0)
     top = 0
@@ -120,18 +126,18 @@ def grid_join(a: DataFrame, b: DataFrame | None = None, order: Column | None = N
 
     def entered(df: DataFrame, prefix: str, levels: Column) -> DataFrame:
         df = df.withColumn("_own", _level(cell))
-        return _prefixed(_tiles(df.withColumn("_at", F.explode(levels)), F.col("_at"), cell), prefix)
+        return _prefixed(_tiles(df.withColumn("_at", F.explode(levels)), F.col("_at"), cell), prefix, same)
 
     if top == 0:
         at = F.array(F.lit(0))
         left = entered(sides[0], "a_", at)
         right = entered(sides[0] if own else sides[1], "b_", at)
-        out = _meet(left, right, "a_", "b_")
+        out = _meet(left, right, "a_", "b_", same)
         out = out.where(order) if own else out
     else:
         home, probe = F.array(F.col("_own")), F.sequence(F.col("_own"), F.lit(top))
         left, right = entered(sides[0], "a_", home), entered(sides[0] if own else sides[1], "b_", probe)
-        out = _meet(left, right, "a_", "b_")
+        out = _meet(left, right, "a_", "b_", same)
         if own:
             # the larger one is at home; its mate may be smaller or as large, and either may come first
             out = out.where((F.col("b__own") < F.col("a__own")) | order)
@@ -142,7 +148,7 @@ def grid_join(a: DataFrame, b: DataFrame | None = None, order: Column | None = N
                 *[F.when(swap, F.col("a_" + n)).otherwise(F.col("b_" + n)).alias("b_" + n) for n in names],
             )
         else:
-            finer = _meet(entered(sides[1], "b_", home), entered(sides[0], "a_", probe), "b_", "a_").where("a__own < b__own")
+            finer = _meet(entered(sides[1], "b_", home), entered(sides[0], "a_", probe), "b_", "a_", same).where("a__own < b__own")
             keep = [*["a_" + c for c in sides[0].columns], *["b_" + c for c in sides[1].columns]]
             out = out.select(*keep).unionByName(finer.select(*keep))
     return out.select(*["a_" + c for c in sides[0].columns], *["b_" + c for c in (sides[0] if own else sides[1]).columns])

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import clean, orientation, segment_contains, unsure
+from ..functions.geometry import clean, is_box, orientation, segment_contains, unsure
 from . import exact
 from .grid import grid_join, with_line_box, with_ring_box, with_segment_box
+from .materialize import stored
 from .transforms import dedup_segments, drop_empty_segments, endpoints, explode_lines, inner_points
 
 _SEGMENT = ("x1", "y1", "x2", "y2")
@@ -141,13 +144,16 @@ def must_not_overlap_with(lines: DataFrame, other: DataFrame, cell: float | None
     return pairs.select(F.col("b_fid").alias("fid"), *[F.col("b_" + n).alias(n) for n in _SEGMENT])
 
 
-def must_not_self_overlap(lines: DataFrame) -> DataFrame:
-    """For each ordered pair of segments of one line of which the first contains the second, the second."""
-    segs = explode_lines(lines)
-    a = segs.select("fid", "part", *[F.col(n).alias("a_" + n) for n in ("seg", *_SEGMENT)])
-    b = segs.select("fid", "part", *[F.col(n).alias("b_" + n) for n in ("seg", *_SEGMENT)])
-    pairs = a.join(b, ["fid", "part"]).where("a_seg <> b_seg").where(segment_contains("a_", "b_"))
-    return pairs.select("fid", *[F.col("b_" + n).alias(n) for n in _SEGMENT])
+def must_not_self_overlap(lines: DataFrame, cell: float | None = None) -> DataFrame:
+    """For each ordered pair of segments of one line of which the first contains the second, the second.
+
+    Segments meet in tiles of their own line, so that a line of very many segments is no single group.
+    """
+    segs = with_segment_box(explode_lines(lines))
+    pairs = grid_join(segs, order=F.col("a_seg") < F.col("b_seg"), cell=cell, same=("fid", "part"))
+    second = pairs.where(segment_contains("a_", "b_")).select(F.col("b_fid").alias("fid"), *[F.col("b_" + n).alias(n) for n in _SEGMENT])
+    first = pairs.where(segment_contains("b_", "a_")).select(F.col("a_fid").alias("fid"), *[F.col("a_" + n).alias(n) for n in _SEGMENT])
+    return second.unionByName(first)
 
 
 def must_not_intersect(lines: DataFrame, cell: float | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -156,9 +162,10 @@ def must_not_intersect(lines: DataFrame, cell: float | None = None, digits: int
     Points are all proper crossings, and improper touches whose coordinate
     occurs at least twice among inner vertices. A touch at line ends or a
     single inner vertex is no intersection. ``digits`` rounds proper
-    crossings before they are told apart.
+    crossings before they are told apart. Meetings are found once and stored
+    for both results.
     """
-    meetings = segment_meetings(explode_lines(lines), cell)
+    meetings = stored(segment_meetings(explode_lines(lines), cell).select("kind", "x", "y", "to_x", "to_y"))
     return intersection_points(meetings, inner_points(lines), digits), overlaps(meetings)
 
 
@@ -180,15 +187,28 @@ def must_not_have_dangles(lines: DataFrame, cell: float | None = None) -> DataFr
     return endpoints(lines).join(touched, ["x", "y"], "left_anti").select("fid", "x", "y")
 
 
+def _in_box(coords: Column, box: str) -> Column:
+    """Whether a line within a closed box has a point in its inside: some stretch does not run along one side."""
+    side = [(k, F.col(box + end + k)) for k in "xy" for end in ("min", "max")]
+    steps = F.zip_with(
+        F.slice(coords, F.lit(1), F.size(coords) - 1),
+        F.slice(coords, F.lit(2), F.size(coords) - 1),
+        lambda p, q: F.struct(p.alias("p"), q.alias("q")),
+    )
+    along = lambda p, q: reduce(or_, [(p[k] == v) & (q[k] == v) for k, v in side])
+    # a stretch of no length, as of a line of one place, counts by its place alone, along a side or not
+    return F.exists(steps, lambda s: ~along(s["p"], s["q"]))
+
+
 def must_be_inside(lines: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
     """Lines that no single polygon contains: ``fid, part, coords``.
 
     A contained line has no point outside and does not run on the boundary
     alone. Candidates are pairs in which the polygon's box holds the line's;
-    they are decided exactly, pair by pair.
+    boxes are decided in columns, other polygons exactly, pair by pair.
     """
-    left = with_line_box(lines.select("fid", "part", "coords"))
-    right = with_ring_box(polygons.select("rings"))
+    left = with_line_box(lines.where(F.size("coords") > 1).select("fid", "part", "coords"))
+    right = with_ring_box(polygons.select("rings")).withColumn("box", is_box(F.col("rings")))
     pairs = grid_join(left, right, cell=cell).where("a_minx >= b_minx and a_maxx <= b_maxx and a_miny >= b_miny and a_maxy <= b_maxy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,5 +219,6 @@ def must_be_inside(lines: DataFrame, polygons: DataFrame, cell: float | None = N
                 inside.append(exact.line_inside([exact.point(c["x"], c["y"]) for c in coords], edges))
             yield pa.RecordBatch.from_arrays([batch.column("a_fid"), batch.column("a_part"), pa.array(inside, pa.bool_())], ["fid", "part", "inside"])
 
-    inside = pairs.select("a_fid", "a_part", "a_coords", "b_rings").mapInArrow(run, "fid long, part int, inside boolean").where("inside")
-    return lines.join(inside, ["fid", "part"], "left_anti").select("fid", "part", "coords")
+    boxed = pairs.where(F.col("b_box") & _in_box(F.col("a_coords"), "b_")).select(F.col("a_fid").alias("fid"), F.col("a_part").alias("part"))
+    others = pairs.where("not b_box").select("a_fid", "a_part", "a_coords", "b_rings").mapInArrow(run, "fid long, part int, inside boolean").where("inside")
+    return lines.join(boxed.unionByName(others.select("fid", "part")), ["fid", "part"], "left_anti").select("fid", "part", "coords")

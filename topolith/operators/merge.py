@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,9 @@ def merge_lines(lines: DataFrame, cell: float | None = None, max_rounds: int = 5
     fewer than two vertices are left out.
 
     A round is three exchanges for the touches, O(log n) small joins for the
-    components, and one exchange that brings a component's lines together;
-    a component is as large as the line that it makes.
+    components, and one exchange that brings a component's lines together in
+    a sorted partition, where they are read as a stream; a component is as
+    large as the line that it makes.
     """
     held = Stored(lines.where(F.size("coords") > 1).select("fid", F.col("part").cast("int").alias("part"), "coords", F.lit(1).cast("long").alias("members")))
     for _ in range(max_rounds):
@@ -75,53 +78,104 @@ def _round(lines: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFram
     ends = parts.select("component", F.explode(F.array(F.element_at("coords", 1), F.element_at("coords", -1))).alias("c"))
     ends = ends.select("component", "c.x", "c.y").distinct()
     # what a component has to know of its nodes: where it may join, and where others touch it
-    known = ends.join(nodes, ["x", "y"]).select("component", "x", "y", F.expr("lines = 2 and ends").alias("free"), (F.col("lines") > 2).alias("touched"))
+    known = ends.join(nodes, ["x", "y"])
+    at = lambda k: F.transform("coords", lambda c: c[k])
     key = [F.col("component.fid").alias("cf"), F.col("component.part").alias("cp")]
-    left = parts.select(*key, "fid", "part", "coords", "members")
-    right = known.select(*key, "x", "y", "free", "touched")
-    done = left.groupBy("cf", "cp").cogroup(right.groupBy("cf", "cp")).applyInPandas(_chain, _LINES)
-    return stay.unionByName(done)
-
-
-def _chain(lines: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-    """Joins the lines of one component at its free nodes."""
-    free = {(x, y) for x, y, f in zip(nodes["x"], nodes["y"], nodes["free"]) if f}
-    touched = {(x, y) for x, y, f in zip(nodes["x"], nodes["y"], nodes["touched"]) if f}
-    rows = sorted(zip(lines["fid"], lines["part"], lines["members"], lines["coords"]), key=lambda r: (r[0], r[1]))
-    open_ = {k: [(c["x"], c["y"]) for c in r[3]] for k, r in enumerate(rows)}
-    groups = {k: [k] for k in open_}
-    at: dict[tuple, set[int]] = {}
-    for k, c in open_.items():
-        for p in (c[0], c[-1]):
+    left = parts.select(*key, F.lit(1).alias("line"), "fid", "part", "members", at("x").alias("xs"), at("y").alias("ys"))
+    right = known.select(
+        *key,
+        F.lit(0).alias("line"),
+        F.expr("cast(lines = 2 and ends as long)").alias("fid"),
+        F.expr("cast(lines > 2 as int)").alias("part"),
+        F.lit(0).cast("long").alias("members"),
+        F.array("x").alias("xs"),
+        F.array("y").alias("ys"),
+    )
+    # a component's nodes and lines stand one after the other in a partition, which holds one component at a time
+    dealt = left.unionByName(right).repartition("cf", "cp").sortWithinPartitions("cf", "cp", "line", "fid", "part")
+    return stay.unionByName(dealt.mapInArrow(_chains, _LINES))
+
+
+_ARROW = pa.schema(
+    [("fid", pa.int64()), ("part", pa.int32()), ("coords", pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))), ("members", pa.int64())]
+)
+
+
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, lines, free, touched = None, [], set(), set()
+    out: list[dict] = []
+    vertices = 0
+
+    def table() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(out, _ARROW)
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("cf", "cp", "line", "fid", "part", "members", "xs", "ys")]
+        for cf, cp, line, fid, part, members, xs, ys in zip(*columns):
+            if (cf, cp) != key:
+                out += _chain(lines, free, touched)
+                vertices += sum(len(r[3]) for r in lines)
+                key, lines, free, touched = (cf, cp), [], set(), set()
+                if vertices > 100_000:
+                    yield table()
+                    out, vertices = [], 0
+            if line:
+                lines.append((fid, part, members, list(zip(xs, ys))))
+            else:
+                if fid:
+                    free.add((xs[0], ys[0]))
+                if part:
+                    touched.add((xs[0], ys[0]))
+    out += _chain(lines, free, touched)
+    if out:
+        yield table()
+
+
+def _chain(rows: list[tuple], free: set, touched: set) -> list[dict]:
+    """Joins the lines of one component at its free nodes: walks from line to line, each once."""
+    at: dict[tuple, list[int]] = {}
+    for k, (_, _, _, c) in enumerate(rows):
+        for p in {c[0], c[-1]}:
             if p in free:
-                at.setdefault(p, set()).add(k)
-    for node in sorted(free):
-        if len(at.get(node, ())) != 2:
-            continue  # the lines here are one by now
-        a, b = sorted(at[node])
-        one, two = open_[a], open_[b]
-        if one[-1] != node:
-            one = one[::-1]
-        if two[0] != node:
-            two = two[::-1]
-        joined = one + two[1:]
-        open_[a] = joined
-        groups[a] += groups.pop(b)
-        del open_[b], at[node]
-        for p in (joined[0], joined[-1]):
-            if p in at:
-                at[p] = {a if k == b else k for k in at[p]}
+                at.setdefault(p, []).append(k)
+    used = [False] * len(rows)
+
+    def walk(k: int, end: tuple) -> list[tuple[int, bool]]:
+        """The lines that follow line k at one of its ends, and whether each is turned round."""
+        path = []
+        while len(ways := at.get(end, ())) == 2:
+            following = ways[0] if ways[1] == k else ways[1]
+            if used[following]:
+                break
+            used[following] = True
+            c = rows[following][3]
+            turned = c[0] != end
+            path.append((following, turned))
+            k, end = following, c[0] if turned else c[-1]
+        return path
+
     out = []
-    for k, coords in open_.items():
-        if coords[0] == coords[-1]:
+    for k, (_, _, _, c) in enumerate(rows):
+        if used[k]:
+            continue
+        used[k] = True
+        after = walk(k, c[-1])
+        before = walk(k, c[0]) if c[0] != c[-1] else []  # a ring has one end
+        path = [(j, not turned) for j, turned in reversed(before)] + [(k, False)] + after
+        coords: list[tuple] = []
+        for j, turned in path:
+            piece = rows[j][3][::-1] if turned else rows[j][3]
+            coords += piece[1:] if coords else piece
+        if len(path) == 1:
+            pass
+        elif coords[0] == coords[-1]:
             start = min([p for p in coords if p in touched] or coords)
             i = coords.index(start)
             coords = coords[i:-1] + coords[: i + 1] if i else coords
-            if len(groups[k]) > 1 and coords[-2] < coords[1]:
+            if coords[-2] < coords[1]:
                 coords = coords[::-1]
-        elif len(groups[k]) > 1 and coords[-1] < coords[0]:
+        elif coords[-1] < coords[0]:
             coords = coords[::-1]
-        mine = [rows[j] for j in groups[k]]
-        fid, part = min((r[0], r[1]) for r in mine)
-        out.append((fid, part, [{"x": x, "y": y} for x, y in coords], sum(r[2] for r in mine)))
-    return pd.DataFrame(out, columns=["fid", "part", "coords", "members"])
+        fid, part = min((rows[j][0], rows[j][1]) for j, _ in path)
+        out.append({"fid": fid, "part": part, "coords": [{"x": x, "y": y} for x, y in coords], "members": sum(rows[j][2] for j, _ in path)})
+    return out

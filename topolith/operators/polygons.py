@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import segment_contains
+from ..functions.geometry import is_box, segment_contains
 from . import exact
 from .grid import grid_join, with_ring_box, with_segment_box
 from .transforms import boundary_segments, box_rings
@@ -16,20 +16,8 @@ from .transforms import boundary_segments, box_rings
 _BOX = ("minx", "miny", "maxx", "maxy")
 
 
-def _is_box(rings: Column) -> Column:
-    """A single ring of four sides along the axes, begun at any corner in any direction."""
-    ring = F.get(rings, F.lit(0))
-    at = lambda i, k: F.get(ring, F.lit(i))[k]
-    turns = [
-        (at(0, a) == at(1, a)) & (at(2, a) == at(3, a)) & (at(1, b) == at(2, b)) & (at(0, b) == at(3, b)) & (at(0, b) != at(1, b)) & (at(1, a) != at(2, a))
-        for a, b in (("x", "y"), ("y", "x"))
-    ]
-    closed = (at(0, "x") == at(4, "x")) & (at(0, "y") == at(4, "y"))
-    return F.coalesce((F.size(rings) == 1) & (F.size(ring) == 5) & closed & (turns[0] | turns[1]), F.lit(False))
-
-
 def _prepared(polygons: DataFrame) -> DataFrame:
-    return with_ring_box(polygons.select("fid", "part", "rings")).withColumn("box", _is_box(F.col("rings")))
+    return with_ring_box(polygons.select("fid", "part", "rings")).withColumn("box", is_box(F.col("rings")))
 
 
 _SHARED = "fid_a long, fid_b long, piece int, rings array<array<struct<x:double,y:double>>>"

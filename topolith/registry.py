@@ -10,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import SQL, box_polygons, fixture, kind_features, two_vertex_lines, vertex_lines
+from .fixtures import SQL, box_polygons, diamond_polygons, ell_polygons, fixture, frame_polygons, kind_features, two_vertex_lines, vertex_lines
 from .functions import geometry as g
 from .operators import lines, merge, points, polygons, transforms
 from .plans import batch, formats
+from .schema import RINGS
 from .sources import drivers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +164,7 @@ def point_must_not_overlap_with(spark, sf_dir):
     return points.must_not_overlap_with(fixture(spark, sf_dir, "fx_points"), fixture(spark, sf_dir, "fx_points_other"))
 
 
-@_query(_with("fx_points", "fx_zones") + "SELECT fid, x, y FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM fx_zones z WHERE p.x > z.x0 AND p.x < z.x1 AND p.y > z.y0 AND p.y < z.y1)")
+@_query(_with("fx_points", "fx_zones") + "SELECT fid, x, y FROM fx_points p WHERE NOT EXISTS (SELECT 1 FROM fx_zones z WHERE z.fid BETWEEN floor(p.x / 4) - 2 AND floor(p.x / 4) + 1 AND p.x > z.x0 AND p.x < z.x1 AND p.y > z.y0 AND p.y < z.y1)")
 def point_must_be_inside(spark, sf_dir):
     return points.must_be_inside(fixture(spark, sf_dir, "fx_points"), box_polygons(fixture(spark, sf_dir, "fx_zones")))
 
@@ -179,8 +180,19 @@ def _turn(a: str, p: str) -> str:
     return f"(({a}.x2 - {a}.x1) * ({p[0]} - {a}.y1) - ({a}.y2 - {a}.y1) * ({p[1]} - {a}.x1))"
 
 
-def _meetings(source: str) -> dict[str, str]:
-    """Named steps that end in ``m``: all meetings of the distinct segments of a source."""
+#: Neighbouring squares of a plain grid, for SQL: boxes no wider than a square meet only across these.
+_AROUND = "(VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)) AS k(i, j)"
+
+
+def _square(box: int, *ends: str) -> str:
+    """The square of the lower left corner of a box, as columns cx and cy."""
+    x, y = (", ".join(c + e for e in ends) for c in "xy")
+    least = "least({})" if len(ends) > 1 else "{}"
+    return f"CAST(floor({least.format(x)} / {box}) AS BIGINT) AS cx, CAST(floor({least.format(y)} / {box}) AS BIGINT) AS cy"
+
+
+def _meetings(source: str, box: int = 8) -> dict[str, str]:
+    """Named steps that end in ``m``: all meetings of the distinct segments of a source, none wider or higher than ``box``."""
     lexic = lambda f, x, y: f"CASE WHEN {x}1 < {x}2 OR ({x}1 = {x}2 AND {y}1 <= {y}2) THEN {f}1 ELSE {f}2 END"
     other = lambda f, x, y: f"CASE WHEN {x}1 < {x}2 OR ({x}1 = {x}2 AND {y}1 <= {y}2) THEN {f}2 ELSE {f}1 END"
     touch = "{o} = 0 AND {p}x{i} BETWEEN least({s}x1, {s}x2) AND greatest({s}x1, {s}x2) AND {p}y{i} BETWEEN least({s}y1, {s}y2) AND greatest({s}y1, {s}y2)"
@@ -192,14 +204,14 @@ def _meetings(source: str) -> dict[str, str]:
     at = lambda c: " ".join(f"WHEN {t} THEN {p}{c}{i}" for t, (p, i) in zip(touches, ends))
     return {
         "d": f"SELECT DISTINCT x1, y1, x2, y2 FROM {source} WHERE NOT (x1 = x2 AND y1 = y2)",
-        "e": f"SELECT *, {lexic('x', 'x', 'y')} AS sx, {lexic('y', 'x', 'y')} AS sy, {other('x', 'x', 'y')} AS tx, {other('y', 'x', 'y')} AS ty FROM d",
+        "e": f"SELECT *, {_square(box, '1', '2')}, {lexic('x', 'x', 'y')} AS sx, {lexic('y', 'x', 'y')} AS sy, {other('x', 'x', 'y')} AS tx, {other('y', 'x', 'y')} AS ty FROM d",
         "p": f"""SELECT a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
             {_turn("a", ("b.y1", "b.x1"))} AS o1, {_turn("a", ("b.y2", "b.x2"))} AS o2, {_turn("b", ("a.y1", "a.x1"))} AS o3, {_turn("b", ("a.y2", "a.x2"))} AS o4,
             CASE WHEN a.sx > b.sx OR (a.sx = b.sx AND a.sy > b.sy) THEN a.sx ELSE b.sx END AS lx,
             CASE WHEN a.sx > b.sx OR (a.sx = b.sx AND a.sy > b.sy) THEN a.sy ELSE b.sy END AS ly,
             CASE WHEN a.tx < b.tx OR (a.tx = b.tx AND a.ty < b.ty) THEN a.tx ELSE b.tx END AS hx,
             CASE WHEN a.tx < b.tx OR (a.tx = b.tx AND a.ty < b.ty) THEN a.ty ELSE b.ty END AS hy
-            FROM e a JOIN e b ON least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+            FROM e a CROSS JOIN {_AROUND} JOIN e b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
             AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
             AND (a.x1 < b.x1 OR (a.x1 = b.x1 AND (a.y1 < b.y1 OR (a.y1 = b.y1 AND (a.x2 < b.x2 OR (a.x2 = b.x2 AND a.y2 < b.y2))))))""",
         "q": f"""SELECT *, CASE WHEN {line} AND ({before}) THEN 'collinear' WHEN {line} AND lx = hx AND ly = hy THEN 'improper' WHEN {line} THEN NULL
@@ -238,8 +250,8 @@ def _contained(a: str, b: str) -> str:
 
 
 @_query(
-    _with("fx_seg", "fx_seg_other")
-    + f"SELECT b.fid AS fid, b.x1 + 0.0 AS x1, b.y1 + 0.0 AS y1, b.x2 + 0.0 AS x2, b.y2 + 0.0 AS y2 FROM fx_seg a JOIN fx_seg_other b ON {_contained('a', 'b')} "
+    _with("fx_seg", "fx_seg_other", p=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg", q=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg_other")
+    + f"SELECT b.fid AS fid, b.x1 + 0.0 AS x1, b.y1 + 0.0 AS y1, b.x2 + 0.0 AS x2, b.y2 + 0.0 AS y2 FROM p a CROSS JOIN {_AROUND} JOIN q b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND {_contained('a', 'b')} "
     "WHERE NOT (a.x1 = a.x2 AND a.y1 = a.y2) AND NOT (b.x1 = b.x2 AND b.y1 = b.y2)"
 )
 def line_must_not_overlap_with(spark, sf_dir):
@@ -259,14 +271,14 @@ _INNER = "SELECT x, y FROM (SELECT fid, x, y, row_number() OVER (PARTITION BY fi
 
 
 @_query(
-    _with("fx_vertex", s=_VERTEX_STEPS, **_meetings("s"), i=f"SELECT x, y FROM ({_INNER}) v GROUP BY x, y HAVING count(*) > 1")
+    _with("fx_vertex", s=_VERTEX_STEPS, **_meetings("s", 64), i=f"SELECT x, y FROM ({_INNER}) v GROUP BY x, y HAVING count(*) > 1")
     + "SELECT round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM m WHERE kind = 'proper' UNION SELECT m.x, m.y FROM m JOIN i ON m.x = i.x AND m.y = i.y WHERE kind = 'improper'"
 )
 def line_must_not_intersect_points(spark, sf_dir):
     return lines.must_not_intersect(vertex_lines(fixture(spark, sf_dir, "fx_vertex")), digits=6)[0]
 
 
-@_query(_with("fx_vertex", s=_VERTEX_STEPS, **_meetings("s")) + "SELECT x AS x1, y AS y1, to_x AS x2, to_y AS y2 FROM m WHERE kind = 'collinear'")
+@_query(_with("fx_vertex", s=_VERTEX_STEPS, **_meetings("s", 64)) + "SELECT x AS x1, y AS y1, to_x AS x2, to_y AS y2 FROM m WHERE kind = 'collinear'")
 def line_must_not_intersect_lines(spark, sf_dir):
     return lines.must_not_intersect(vertex_lines(fixture(spark, sf_dir, "fx_vertex")))[1]
 
@@ -291,14 +303,18 @@ def line_must_not_have_dangles_crossing(spark, sf_dir):
 @_query(
     _with("fx_seg", "fx_zones2")
     + """SELECT fid, x1, y1, x2, y2 FROM fx_seg s WHERE NOT (x1 = x2 AND y1 = y2) AND NOT EXISTS (SELECT 1 FROM fx_zones2 z
-    WHERE s.x1 BETWEEN z.x0 AND z.x1 AND s.x2 BETWEEN z.x0 AND z.x1 AND s.y1 BETWEEN z.y0 AND z.y1 AND s.y2 BETWEEN z.y0 AND z.y1
+    WHERE z.fid BETWEEN floor(s.x1 / 20) - 2 AND floor(s.x1 / 20) + 1 AND s.x1 BETWEEN z.x0 AND z.x1 AND s.x2 BETWEEN z.x0 AND z.x1 AND s.y1 BETWEEN z.y0 AND z.y1 AND s.y2 BETWEEN z.y0 AND z.y1
     AND NOT (s.x1 = s.x2 AND (s.x1 = z.x0 OR s.x1 = z.x1)) AND NOT (s.y1 = s.y2 AND (s.y1 = z.y0 OR s.y1 = z.y1)))"""
 )
 def line_must_be_inside(spark, sf_dir):
     segs = transforms.drop_empty_segments(fixture(spark, sf_dir, "fx_seg"))
     out = lines.must_be_inside(two_vertex_lines(segs), box_polygons(fixture(spark, sf_dir, "fx_zones2")))
+    return _two_ends(out)
+
+
+def _two_ends(found: DataFrame) -> DataFrame:
     a, b = F.element_at("coords", 1), F.element_at("coords", -1)
-    return out.select("fid", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    return found.select("fid", a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
 
 
 # rules for polygons
@@ -330,12 +346,75 @@ def polygon_must_not_overlap_with(spark, sf_dir):
     _with("fx_boxes", t=_OVERLAP.format("fx_boxes", "fx_boxes") + " AND a.fid < b.fid") + "SELECT fid_a, fid_b, area FROM t"
 )
 def polygon_must_not_overlap_general(spark, sf_dir):
-    """The same boxes with a vertex in the middle of a side, so that the general kernel takes them."""
+    """The same boxes with a vertex in the middle of a side, so that no closed form takes them; convex, they are cut by each other's edges."""
     boxes = fixture(spark, sf_dir, "fx_boxes")
     c = [F.col(n) for n in ("x0", "y0", "x1", "y1")]
     ring = transforms.line_of(c[0], c[1], (c[0] + c[2]) / 2, c[1], c[2], c[1], c[2], c[3], c[0], c[3], c[0], c[1])
-    found = polygons.must_not_overlap(boxes.select("fid", F.lit(0).alias("part"), F.array(ring).alias("rings")))
-    return found.select("fid_a", "fid_b", g.polygon_area(F.col("rings")).alias("area"))
+    return _shared_area(polygons.must_not_overlap(boxes.select("fid", F.lit(0).alias("part"), F.array(ring).alias("rings"))))
+
+
+def _shared_area(shared: DataFrame) -> DataFrame:
+    """What two polygons share may be several pieces; their areas are added."""
+    return shared.groupBy("fid_a", "fid_b").agg(F.sum(g.polygon_area(F.col("rings"))).alias("area"))
+
+
+def _common(a: str, b: str) -> str:
+    """SQL: the area that boxes with columns x0, y0, x1, y1 share."""
+    return f"greatest(0, least({a}x1, {b}x1) - greatest({a}x0, {b}x0)) * greatest(0, least({a}y1, {b}y1) - greatest({a}y0, {b}y0))"
+
+
+_ELL_BOXES = "SELECT fid, x AS x0, y AS y0, x + w AS x1, y + 2 AS y1 FROM {0} UNION ALL SELECT fid, x, y + 2, x + 2, y + h FROM {0}"
+
+
+@_query(
+    _with("fx_ells", b=_ELL_BOXES.format("fx_ells"), c=f"SELECT *, {_square(8, '0')} FROM b")
+    + f"SELECT a.fid AS fid_a, b.fid AS fid_b, sum({_common('a.', 'b.')}) AS area FROM c a CROSS JOIN {_AROUND} JOIN c b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND a.fid < b.fid GROUP BY a.fid, b.fid HAVING sum({_common('a.', 'b.')}) > 0"
+)
+def polygon_must_not_overlap_ells(spark, sf_dir):
+    """L-shapes, which no closed form and no convex cut takes; SQL adds up the boxes they are made of."""
+    return _shared_area(polygons.must_not_overlap(ell_polygons(fixture(spark, sf_dir, "fx_ells"))))
+
+
+_FRAMED = " - ".join([_common("a.", "b."), _common("a.h", "b."), _common("a.", "b.h")]) + " + " + _common("a.h", "b.h")
+
+
+@_query(
+    _with("fx_frames", f="SELECT fid, x AS x0, y AS y0, x + s AS x1, y + s AS y1, x + 2 AS hx0, y + 2 AS hy0, x + 4 AS hx1, y + 4 AS hy1 FROM fx_frames", c=f"SELECT *, {_square(8, '0')} FROM f")
+    + f"SELECT a.fid AS fid_a, b.fid AS fid_b, {_FRAMED} AS area FROM c a CROSS JOIN {_AROUND} JOIN c b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND a.fid < b.fid WHERE {_FRAMED} > 0"
+)
+def polygon_must_not_overlap_frames(spark, sf_dir):
+    """Boxes with holes; SQL counts boxes less holes."""
+    return _shared_area(polygons.must_not_overlap(frame_polygons(fixture(spark, sf_dir, "fx_frames"))))
+
+
+@_query(
+    _with("fx_diamonds", d="SELECT fid, x + y - r AS x0, x - y - r AS y0, x + y + r AS x1, x - y + r AS y1 FROM fx_diamonds", c=f"SELECT *, {_square(16, '0')} FROM d")
+    + f"SELECT a.fid AS fid_a, b.fid AS fid_b, ({_common('a.', 'b.')}) / 2 AS area FROM c a CROSS JOIN {_AROUND} JOIN c b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND a.fid < b.fid WHERE {_common('a.', 'b.')} > 0"
+)
+def polygon_must_not_overlap_slanted(spark, sf_dir):
+    """Squares on their corners; SQL turns them by 45 degrees."""
+    return _shared_area(polygons.must_not_overlap(diamond_polygons(fixture(spark, sf_dir, "fx_diamonds"))))
+
+
+@_query(
+    _with("fx_level", "fx_diamonds")
+    + """SELECT fid, x1, y1, x2, y2 FROM fx_level s WHERE NOT EXISTS (SELECT 1 FROM fx_diamonds d
+    WHERE d.x BETWEEN s.x1 - 6 AND s.x1 + 6 AND abs(s.x1 - d.x) + abs(s.y1 - d.y) <= d.r AND abs(s.x2 - d.x) + abs(s.y2 - d.y) <= d.r)"""
+)
+def line_must_be_inside_slanted(spark, sf_dir):
+    """Level and upright lines, which never run along a slanted edge."""
+    return _two_ends(lines.must_be_inside(two_vertex_lines(fixture(spark, sf_dir, "fx_level")), diamond_polygons(fixture(spark, sf_dir, "fx_diamonds"))))
+
+
+@_query(
+    _with("fx_level", "fx_ells")
+    + """SELECT fid, x1, y1, x2, y2 FROM fx_level s WHERE NOT EXISTS (SELECT 1 FROM fx_ells e WHERE e.x BETWEEN s.x1 - 8 AND s.x1 + 8 AND
+    CASE WHEN y1 = y2 THEN s.x1 >= e.x AND s.y1 > e.y AND s.y1 < e.y + e.h AND s.x2 <= e.x + CASE WHEN s.y1 <= e.y + 2 THEN e.w ELSE 2 END AND NOT (s.y1 = e.y + 2 AND s.x1 >= e.x + 2)
+    ELSE s.y1 >= e.y AND s.x1 > e.x AND s.x1 < e.x + e.w AND s.y2 <= e.y + CASE WHEN s.x1 <= e.x + 2 THEN e.h ELSE 2 END AND NOT (s.x1 = e.x + 2 AND s.y1 >= e.y + 2) END)"""
+)
+def line_must_be_inside_ells(spark, sf_dir):
+    """Level and upright lines against L-shapes, along their edges and through their corners too."""
+    return _two_ends(lines.must_be_inside(two_vertex_lines(fixture(spark, sf_dir, "fx_level")), ell_polygons(fixture(spark, sf_dir, "fx_ells"))))
 
 
 _SIDES = """SELECT fid, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2 FROM fx_cells UNION ALL SELECT fid, x1, y0, x1, y1 FROM fx_cells
@@ -368,6 +447,27 @@ def merge_linestrings(spark, sf_dir):
     return merged.select("fid", "members", F.size("coords").cast("long").alias("n_points"), g.line_length(F.col("coords")).alias("length"))
 
 
+_CORNER = {a + b: f"({'x' if a == 'l' else 'x + 2'}) || ' ' || ({'y' if b == 'l' else 'y + 2'})" for a in "lh" for b in "lh"}
+_STICK = "(x + 2) || '.5 ' || (y + 2) || '.5'"
+
+
+def _through(*at: str) -> str:
+    return " || ', ' || ".join(_CORNER.get(a, a) for a in at)
+
+
+@_query(
+    f"""WITH corner AS (SELECT p_partkey AS k, p_partkey % 100 * 3 AS x, CAST(floor(p_partkey / 100) AS BIGINT) * 3 AS y FROM part)
+    SELECT CAST(k * 5 AS BIGINT) AS fid, CAST(5 AS BIGINT) AS members, 'LINESTRING (' || {_through("hh", "lh", "ll", "hl", "hh", _STICK)} || ')' AS wkt FROM corner WHERE k % 3 = 0
+    UNION ALL SELECT CAST(k * 5 AS BIGINT), CAST(4 AS BIGINT), 'LINESTRING (' || {_through("ll", "lh", "hh", "hl", "ll")} || ')' FROM corner WHERE k % 3 <> 0
+    UNION ALL SELECT CAST(k * 5 + 4 AS BIGINT), CAST(1 AS BIGINT), 'LINESTRING (' || (x + 2) || '.25 ' || (y + 2) || '.25, ' || {_STICK} || ')' FROM corner WHERE k % 3 <> 0"""
+)
+def merge_rings(spark, sf_dir):
+    """Sides of squares become rings; one that a stick ends on begins there, and the stick goes on from it in the next round."""
+    merged = merge.merge_lines(two_vertex_lines(fixture(spark, sf_dir, "fx_ring")))
+    parts = F.array(F.struct("coords", F.lit(None).cast(RINGS).alias("rings")))
+    return merged.select("fid", "members", formats.to_wkt(F.lit("LineString"), parts).alias("wkt"))
+
+
 # reports, drivers and formats
 
 
