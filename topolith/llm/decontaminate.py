@@ -3,13 +3,14 @@
 Texts are lower-cased, and runs of ASCII characters other than letters and
 digits count as one space. A leak is a stretch of ``window`` bytes of an item
 (the whole item if shorter) that a document repeats with ``rate`` edits a byte
-at most.
+at most. Items shorter than a q-gram leak where a document has them as whole words.
 
 By the q-gram lemma a stretch of w bytes with e edits shares at least
 w + 1 - q - e * q of its q-grams with its copy, all within e diagonals. Shared
 q-grams are found by looking up every q-gram of a document, counted in
 overlapping bands of diagonals, and regions below the bound are passed over;
-the others are aligned within their band, which settles them.
+the others are aligned within their band, which settles them. Of a long item
+only the part around the shared q-grams is aligned, a bounded number of windows at a time.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
+from ..operators.materialize import Stored
 from .common import slices, text_or_empty
 
 Q = 8
 _FOLD = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _WORDS = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _FACTOR, _BITS = np.uint64(0x9E3779B97F4A7C15), 22
+#: Cells of bytes that are scored at a time, bytes of an item's part above which it isn't scored but aligned at once, and windows aligned at a time.
+CELLS, UNSCORED, WINDOWS = 1 << 20, 4096, 512
 
 #: Bytes of items that are indexed and sent to executors at a time.
 BLOCK = 16 << 20
@@ -48,7 +54,7 @@ def normal(text: str) -> bytes:
 
 
 class Index:
-    """The q-grams of benchmark items; items of fewer than ``Q`` normal bytes have none."""
+    """The q-grams of benchmark items, and whole words of items of fewer than ``Q`` normal bytes."""
 
     def __init__(self, items: list[tuple[object, str]], rule: Rule = Rule()):
         self.ids = [i for i, _ in items]
@@ -72,6 +78,10 @@ class Index:
         self.item = (np.concatenate(item) if item else none)[order]
         self.at = (np.concatenate(at) if at else none)[order]
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # by the number of words
+        for k, t in enumerate(self.texts):
+            if 0 < len(t) < Q:
+                self.short.setdefault(t.count(b" ") + 1, {}).setdefault(t, []).append(k)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[_slot(self.grams)] = True
 
@@ -89,7 +99,7 @@ class Index:
 
     def leaks(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each normal text: item's place, edits of the best window, and where the copy begins and ends."""
-        out: list[list] = [[] for _ in texts]
+        out = [self._words(t) for t in texts] if self.short else [[] for _ in texts]
         if not len(self.grams):
             return out
         gap = b"\n" * Q
@@ -128,20 +138,42 @@ class Index:
         # stretches: the dense hits of a band, apart where they lie far from each other
         cut = np.flatnonzero((group[keep][1:] != group[keep][:-1]) | (hit[keep][1:] - hit[keep][:-1] > self.reach[item[keep][1:]])) + 1
         head, tail = keep[np.concatenate(([0], cut))], keep[np.concatenate((cut, [len(keep)])) - 1]
-        low = band[head] * self.step - self.edits[item[head]]
-        fit = self._scores(line, item[head], low) >= self.window[item[head]] - 4 * self.edits[item[head]]
+        mine = item[head]
+        low = band[head] * self.step - self.edits[mine]
+        # the part of the item whose windows can hold these hits
+        sizes = np.array([len(t) for t in self.texts], np.int64)[mine]
+        begin = np.maximum(0, hit[head] - (band[head] + 2) * self.step - self.reach[mine] - self.step)
+        stop = np.minimum(sizes, hit[tail] - band[head] * self.step + Q + self.reach[mine] + self.step)
+        whole = sizes <= 4 * self.window[mine]
+        begin, stop = np.where(whole, 0, begin), np.where(whole, sizes, np.maximum(stop, begin + self.window[mine]))
+        begin = np.minimum(begin, np.maximum(0, stop - self.window[mine]))
+        fit = self._scores(line, mine, low, begin, stop) >= self.window[mine] - 4 * self.edits[mine]
         done: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for h, t, b in zip(head[fit].tolist(), tail[fit].tolist(), low[fit].tolist()):
+        for h, t, b, x, y in zip(*(v[fit].tolist() for v in (head, tail, low, begin, stop))):
             d, i = int(doc[h]), int(item[h])
             lo, hi = int(hit[h] - begins[d]), int(hit[t] - begins[d])
             if any(x <= lo and hi <= y for x, y in done.get((d, i), ())):
                 continue
-            found = self._verify(texts[d], i, b - int(begins[d]))
+            found = self._verify(texts[d], i, b - int(begins[d]), x, y)
             if found:
                 done.setdefault((d, i), []).append(found[1:])
                 out[d].append((i, *found))
         return out
 
+    def _words(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """Short items that stand in a normal text as whole words, at their first places."""
+        out: list[tuple[int, int, int, int]] = []
+        starts = [0, *(k + 1 for k, c in enumerate(text) if c == 32)] if text else []
+        for n, known in self.short.items():
+            seen: dict[bytes, int] = {}
+            for k in range(len(starts) - n + 1):
+                end = starts[k + n] - 1 if k + n < len(starts) else len(text)
+                if end - starts[k] < Q:
+                    seen.setdefault(text[starts[k] : end], starts[k])
+            for piece, at in seen.items():
+                out += [(i, 0, at, at + len(piece)) for i in known.get(piece, ())]
+        return out
+
     @property
     def texts_with_grams(self) -> np.ndarray:
         return np.flatnonzero(np.array([len(t) >= Q for t in self.texts]))
@@ -151,18 +183,28 @@ class Index:
         """Diagonals of an alignment less one: a band's, and the greatest number of edits on both sides."""
         return 4 * self.step
 
-    def _scores(self, line: bytes, item: np.ndarray, low: np.ndarray, step: int = 512) -> np.ndarray:
-        """The best local scores of many items, each on its band of diagonals, row by row side by side."""
-        out = np.zeros(len(item), np.int32)
+    def _scores(self, line: bytes, item: np.ndarray, low: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The best local scores of many parts of items, each on its band of diagonals, row by row side by side.
+
+        Very long parts get the highest score: they are aligned in any case.
+        """
+        out = np.full(len(item), np.iinfo(np.int32).max, np.int32)
         a = np.frombuffer(line, np.uint8)
         ramp = 3 * np.arange(self.width + 1, dtype=np.int32)
-        order = np.argsort([len(self.texts[i]) for i in item.tolist()], kind="stable")
-        for k in range(0, len(order), step):
-            mine = order[k : k + step]
-            rows = [self.texts[i] for i in item[mine].tolist()]
+        size = stop - begin
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] <= UNSCORED]
+        k = 0
+        while k < len(order):
+            # as many as fit, of like lengths
+            n = 1
+            while k + n < len(order) and (n + 1) * (size[order[k + n]] + self.width + 1) <= CELLS and n < 512:
+                n += 1
+            mine, k = order[k : k + n], k + n
+            rows = [self.texts[i][x:y] for i, x, y in zip(item[mine].tolist(), begin[mine].tolist(), stop[mine].tolist())]
             m = max(map(len, rows))
             letters = np.frombuffer(b"".join(t.ljust(m, b"\xfe") for t in rows), np.uint8).reshape(len(rows), m)
-            src = low[mine][:, None] + np.arange(m + self.width + 1)
+            src = (low + begin)[mine][:, None] + np.arange(m + self.width + 1)
             text = np.where((src >= 0) & (src < len(a)), a[np.clip(src, 0, len(a) - 1)], 255)
             last = np.zeros((len(rows), self.width + 1), np.int32)
             best = np.zeros(len(rows), np.int32)
@@ -175,16 +217,20 @@ class Index:
             out[mine] = best
         return out
 
-    def _verify(self, text: bytes, i: int, low: int) -> tuple[int, int, int] | None:
-        """Fewest edits of a window of an item on diagonals from ``low`` on, and where all good windows lie."""
-        item = self.texts[i]
+    def _verify(self, text: bytes, i: int, low: int, begin: int, stop: int) -> tuple[int, int, int] | None:
+        """Fewest edits of a window of a part of an item on diagonals from ``low`` on, and where all good windows lie."""
+        item, low = self.texts[i][begin:stop], low + begin
         at = text.find(item, max(0, low), max(0, low + self.width + len(item)))
         if at >= 0:  # the alignment without edits
             return 0, at, at + len(item)
         w, slack = int(self.window[i]), int(self.edits[i])
-        edits, begin, end = _align(item, text, low, self.width, w)
-        good = edits <= slack
-        return (int(edits.min()), int(begin[good].min()), int(end[good].max())) if good.any() else None
+        found: list[tuple[int, int, int]] = []
+        for k in range(0, len(item) - w + 1, WINDOWS):
+            edits, first, last = _align(item[k : k + WINDOWS + w - 1], text, low + k, self.width, w)
+            good = edits <= slack
+            if good.any():
+                found.append((int(edits.min()), int(first[good].min()), int(last[good].max())))
+        return (min(f[0] for f in found), max(0, min(f[1] for f in found)), min(len(text), max(f[2] for f in found))) if found else None
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -249,32 +295,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text_
     """``docs`` with an array of leaks: item, edits of its best window, place in the text.
 
     All rows and columns stay; a column named ``out_col`` is replaced. Null
-    texts count as empty and have no leaks. Items are taken in blocks of
-    ``BLOCK`` bytes (by rows of ``item_col``'s hash), so that what travels to
-    executors is bounded however large the benchmark; documents are read once
-    for each block. Null items are left out, equal ones count each. An empty
-    benchmark gives empty arrays.
+    texts count as empty and have no leaks; very long ones are read whole. Items are
+    taken in blocks of ``BLOCK`` bytes (by rows of ``item_col``'s hash), one after the
+    other: a block is fetched, sent out, and its leaks are written with the documents
+    before the next one is, so that what travels and what a task holds is bounded
+    however large the benchmark. Null items are left out, and those without letters
+    and digits have no leaks; equal ones count each. An empty benchmark gives empty arrays.
     """
     spark = docs.sparkSession
-    kind = benchmark.schema[item_col].dataType.simpleString()
+    kind = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, -(-size // BLOCK))
-    columns = []
-    out = docs
+    name = "_leaks"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, F.array().cast(_FOUND.format(kind.simpleString())))
+    held = None
     for part in range(parts):
         mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part)
-        held = sorted(((r["i"], r["t"]) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))
-        name = f"_leaks_{part}"
-        while name in docs.columns:
-            name += "_"
-        columns.append(name)
-        out = out.withColumn(name, _finder(spark.sparkContext.broadcast(held), rule, kind)(text_or_empty(text_col)))
-    return out.withColumn(out_col, F.concat(*columns)).drop(*columns)
-
-
-def _finder(shared, rule: Rule, kind: str):
-    schema = _FOUND.format(kind)
+        block = sorted(((r["i"], r["t"]) for r in mine.collect()), key=lambda x: (str(x[0]), x[1]))
+        shared = spark.sparkContext.broadcast(block)
+        out = out.withColumn(name, F.concat(name, _finder(shared, rule, kind)(text_or_empty(text_col))))
+        if part < parts - 1:
+            following = Stored(out)
+            shared.destroy()
+            if held is not None:
+                held.drop()
+            held, out = following, following.df
+    return out.withColumn(out_col, F.col(name)).drop(name)
+
+
+def _finder(shared, rule: Rule, kind: DataType):
+    schema = _FOUND.format(kind.simpleString())
+    fields = [("item", to_arrow_type(kind)), ("edits", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]
 
     @F.arrow_udf(schema)
     def find(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -288,14 +342,17 @@ def _finder(shared, rule: Rule, kind: str):
                 for text, found in zip(texts, index.leaks([normal(t) for t in texts])):
                     at = spans(text, [(a, b) for _, _, a, b in found]) if found else []
                     rows.append([{"item": index.ids[i], "edits": e, "begin": a, "end": b} for (i, e, _, _), (a, b) in zip(found, at)])
-            kinds = pa.list_(pa.struct([("item", pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()), ("edits", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.array(rows, kinds)
+            yield pa.array(rows, pa.list_(pa.struct(fields)))
 
     return find
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``contaminated``, the items found (sorted, each once) and the leaks, for every row."""
+    """``id_col``, ``contaminated``, the items found (sorted, each once) and the leaks, for every row.
+
+    Repeated rows get equal results; null and empty texts are not contaminated;
+    an empty table gives an empty result; other columns are left out.
+    """
     found = find_leaks(docs.select(id_col, text_col), benchmark, rule, text_col)
     return found.select(
         id_col,
@@ -306,7 +363,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), id
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
-    """The documents without any leak, with their columns as they were."""
+    """The documents without any leak, with their columns as they were, null and empty texts and repeated rows included."""
     mark = "_found"
     while mark in docs.columns:
         mark += "_"
