@@ -49,3 +49,21 @@ def test_empty_inputs(spark):
     assert rule.must_not_overlap(none).count() == 0
     assert rule.must_be_inside(none, polygons(spark, ONE)).count() == 0
     assert rule.must_be_inside(points(spark, (1, 1)), polygons(spark, ONE).where("fid < 0")).count() == 1
+
+
+@pytest.mark.parametrize("teeth", [3, 40, 300])
+def test_polygons_of_few_and_many_edges(spark, teeth):
+    """A comb with a hole: between its teeth is outside, in them inside; vertices, edges and the hole are neither."""
+    comb = [(0, 0), (4 * teeth, 0)]
+    for k in reversed(range(teeth)):
+        comb += [(4 * k + 4, 10), (4 * k + 2, 2), (4 * k, 10)]
+    rings = [[*comb, (0, 0)], [(0.5, 0.5), (0.5, 1), (1, 1), (1, 0.5), (0.5, 0.5)]]
+    asked = [(4 * k + dx, y) for k in range(teeth) for dx in (0, 1, 2, 3) for y in (0, 1.5, 2, 5, 9, 10, 11)] + [(0.75, 0.75), (0.5, 0.75)]
+
+    def inside(x, y):
+        if (x, y) in ((0.75, 0.75), (0.5, 0.75)) or not 0 < x < 4 * teeth or y <= 0:
+            return False
+        return y < 2 + 4 * abs(x % 4 - 2)
+
+    found = {(r["x"], r["y"]) for r in rule.must_be_inside(points(spark, *asked), polygons(spark, rings)).collect()}
+    assert found == {(float(x), float(y)) for x, y in asked if not inside(x, y)}

@@ -58,6 +58,71 @@ def test_geojson_of_any_shape(spark, tmp_path):
     assert _plain(readers.read_features(spark, str(tmp_path / "b.geojson"))) == [("Point", [P])]
 
 
+@pytest.mark.parametrize(
+    "text,n,split",
+    [
+        ('{ "type": "FeatureCollection", "features": [\n{"type":"Feature","properties":{},"geometry":{"type":"Point","coordinates":[1,2]}},\r\n{"type":"Feature","properties":{},"geometry":null}\n]\n}', 2, True),
+        ('{"type":"FeatureCollection","features":[\n]}', 0, True),
+        ('{"type":"FeatureCollection","features":[\n{"type":"Feature","properties":{},"geometry":{"type":"Point",\n"coordinates":[1,2]}}\n]}', 1, False),
+        ('{"type":"FeatureCollection","features":[\n{"type":"Feature","properties":{},"geometry":null}\n],"name":"a"}', 1, False),
+        ('{"name":"a","features":[{"type":"Feature","properties":{},"geometry":null}],"type":"FeatureCollection"}', 1, False),
+    ],
+)
+def test_collections_by_lines_or_whole(spark, tmp_path, text, n, split):
+    (tmp_path / "a.geojson").write_text(text)
+    path = str(tmp_path / "a.geojson")
+    assert (readers._feature_lines(spark, path) is not None) == split
+    assert readers.read_features(spark, path).count() == n
+
+
+def test_shapefiles_are_written_with_their_index(spark, tmp_path):
+    path = str(tmp_path / "a.shp")
+    hole = {"coords": None, "rings": [A["rings"][0], [{"x": 2.0, "y": 1.0}, {"x": 3.0, "y": 1.0}, {"x": 3.0, "y": 2.0}, {"x": 2.0, "y": 1.0}]]}
+    given = _features(spark, ("Polygon", [hole]), ("MultiPolygon", [A, {"coords": None, "rings": [[{"x": c["x"] + 9, "y": c["y"]} for c in A["rings"][0]]]}]))
+    writers.write_features(given.withColumn("rule", F.lit("a-rule")), path)
+    found = readers.read_features(spark, path).orderBy("fid").collect()
+    assert [r["kind"] for r in found] == ["Polygon", "MultiPolygon"] and [len(p["rings"]) for p in found[0]["parts"]] == [2]
+    index = (tmp_path / "a.shx").read_bytes()
+    data = path and (tmp_path / "a.shp").read_bytes()
+    for k in range(2):
+        offset, words = struct.unpack_from(">ii", index, 100 + 8 * k)
+        assert struct.unpack_from(">ii", data, 2 * offset) == (k + 1, words)
+    assert struct.unpack_from(">i", data, 24)[0] * 2 == len(data) and b"a-rule" in (tmp_path / "a.dbf").read_bytes()
+    with pytest.raises(ValueError, match="family"):
+        writers.write_features(_features(spark, ("Point", [P]), ("LineString", [L])), str(tmp_path / "b.shp"))
+    with pytest.raises(FileExistsError):
+        writers.write_features(given, path)
+
+
+def test_features_go_to_a_known_layer(spark, tmp_path):
+    path = str(tmp_path / "a.gpkg")
+    writers.write_features(_features(spark, ("Point", [P])), path, layer="mine")
+    errors = _features(spark, ("Point", [P]), ("LineString", [L])).withColumn("rule", F.lit("r"))
+    writers.write_features(errors, path, mode="append")
+    db = sqlite3.connect(path)
+    assert db.execute("SELECT rule FROM mine ORDER BY fid").fetchall() == [(None,), ("r",)]
+    assert db.execute("SELECT rule FROM LineString").fetchall() == [("r",)]
+    with pytest.raises(FileExistsError):
+        writers.write_features(errors, path)
+    writers.write_features(errors, path, mode="overwrite")
+    assert sqlite3.connect(path).execute("SELECT count(*) FROM gpkg_contents").fetchone() == (2,)
+
+
+def test_formats_by_content_and_rules_by_line(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    from topolith.__main__ import main
+
+    for name, driver in (("a", "GeoJSON"), ("b", "GPKG"), ("c", "ESRI Shapefile")):
+        writers.write_features(_features(spark, ("Point", [P]), ("Point", [P])), str(tmp_path / name), driver)
+        assert drivers.driver_of_content(spark, str(tmp_path / name)).name == driver
+    rules = f"point must-not-overlap points={tmp_path}/a\n\ngeometry must-not-be-multipart features={tmp_path}/b\nsummary\nnothing after it\n"
+    monkeypatch.setattr("sys.stdin", io.StringIO(rules))
+    main(["batch", "--by-content"], spark)
+    said = capsys.readouterr().out
+    assert "1-must-not-overlap" in said and "2-must-not-be-multipart" in said and "1 Point errors" in said
+
+
 def _shp(records):
     body = b""
     for k, r in enumerate(records, 1):

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import lines, polygons, rows, square
-from topolith import fixtures, registry
+from topolith import fixtures, registry, registry_io  # noqa: F401
 from topolith.functions import geometry as g
 from topolith.operators import transforms as t
 from topolith.operators.components import connected_components

@@ -4,6 +4,8 @@
     python -m topolith batch 'point must-not-overlap points=a.geojson' 'line must-not-have-dangles lines=l.shp' --out errors.gpkg
     python -m topolith utilities merge-linestrings lines=l.shp --out merged.geojson
     python -m topolith drivers [read|write]
+
+``batch`` without rules reads them line by line from the input, up to a line ``summary``.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import argparse
 import os
 import shlex
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +37,32 @@ def _pairs(words: list[str]) -> dict[str, str]:
     return out
 
 
-def _spec(spark: SparkSession, family: str, rule: str, words: list[str], driver: str | None) -> batch.RuleSpec:
+def _driver(spark: SparkSession, path: str, named: str | None, by_content: bool) -> str | None:
+    return drivers.driver_of_content(spark, path).name if by_content and not named else named
+
+
+def _spec(spark: SparkSession, family: str, rule: str, words: list[str], driver: str | None, by_content: bool = False) -> batch.RuleSpec:
     if family not in batch.FLATTEN or (family, rule) not in batch.RULES:
         raise SystemExit(f"no rule {rule} for {family}")
     paths = _pairs(words)
     unknown = set(paths) - set(batch.RULES[family, rule][0])
     if unknown:
         raise SystemExit(f"{family} {rule} takes {', '.join(batch.RULES[family, rule][0])}")
-    inputs = {k: batch.FLATTEN[family][k](readers.require_features(readers.read_features(spark, p, driver))) for k, p in paths.items()}
-    return batch.RuleSpec(family, rule, inputs, {k: readers.probe_crs(spark, p, driver) for k, p in paths.items()})
+    named = {k: _driver(spark, p, driver, by_content) for k, p in paths.items()}
+    inputs = {k: batch.FLATTEN[family][k](readers.require_features(readers.read_features(spark, p, named[k]))) for k, p in paths.items()}
+    return batch.RuleSpec(family, rule, inputs, {k: readers.probe_crs(spark, p, named[k]) for k, p in paths.items()})
+
+
+def _rules(lines: Iterable[str]) -> list[str]:
+    """Rules line by line, up to a line ``summary`` or the end; blank lines don't count."""
+    out = []
+    for line in lines:
+        line = line.strip()
+        if line.lower() == "summary":
+            break
+        if line:
+            out.append(line)
+    return out
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -57,6 +77,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--driver", default=os.environ.get("TOPOLITH_DRIVER"), help="name of the format, where extensions don't tell")
     p.add_argument("--out", help="where errors or results go")
     p.add_argument("--epsg", type=int, default=os.environ.get("TOPOLITH_EPSG"), help="reference system written to a GeoPackage")
+    p.add_argument("--by-content", action="store_true", help="tell formats by the files' first bytes, not by extensions")
     p.add_argument("--elapsed", action="store_true", help="tell the seconds it took")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName("topolith").getOrCreate()
@@ -69,7 +90,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return
         if a.what == "utilities":
             name, found = a.words[0], _pairs(a.words[1:])
-            features = readers.require_features(readers.read_features(spark, found["lines"], a.driver))
+            features = readers.require_features(readers.read_features(spark, found["lines"], _driver(spark, found["lines"], a.driver, a.by_content)))
             lines = transforms.flatten_lines(features)
             if name == "merge-linestrings":
                 result = _lines(merge.merge_lines(lines))
@@ -84,12 +105,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return
         if a.what == "batch":
             specs = []
-            for w in a.words:
+            for w in a.words or _rules(sys.stdin):
                 family, rule, *rest = shlex.split(w)
-                specs.append(_spec(spark, family, rule, rest, a.driver))
+                specs.append(_spec(spark, family, rule, rest, a.driver, a.by_content))
             errors, names = batch.run_batch(specs), [f"{k}-{s.rule}" for k, s in enumerate(specs, 1)]
         else:
-            spec = _spec(spark, a.what, a.words[0], a.words[1:], a.driver)
+            spec = _spec(spark, a.what, a.words[0], a.words[1:], a.driver, a.by_content)
             errors, names = batch.run_rule(spec), [spec.rule]
         errors = errors.persist()
         print(batch.summary_text(errors, names))

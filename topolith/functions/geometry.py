@@ -99,18 +99,16 @@ def ring_edges(rings: Column) -> Column:
     return F.flatten(F.transform(rings, edges))
 
 
+def crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a ray to the right crosses an edge: one going up with the point to its left, or down with it to its right."""
+    turn = orientation(x1, y1, x2, y2, px, py)
+    return ((y1 <= py) & (y2 > py) & (turn > 0)) | ((y1 > py) & (y2 <= py) & (turn < 0))
+
+
 def point_in_polygon(px: Column, py: Column, edges: Column) -> Column:
     """Whether a point lies strictly inside; holes don't count as inside, nor does any boundary."""
     on_edge = F.exists(edges, lambda e: on_segment(px, py, e["x1"], e["y1"], e["x2"], e["y2"]))
-
-    def crosses(e: Column) -> Column:
-        # an upward edge with the point to its left, or a downward one with it to its right
-        turn = orientation(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
-        up = (e["y1"] <= py) & (e["y2"] > py) & (turn > 0)
-        down = (e["y1"] > py) & (e["y2"] <= py) & (turn < 0)
-        return up | down
-
-    crossings = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(crosses(e), 1).otherwise(0))
+    crossings = F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(crosses(px, py, e["x1"], e["y1"], e["x2"], e["y2"]), 1).otherwise(0))
     return ~on_edge & (crossings % 2 == 1)
 
 

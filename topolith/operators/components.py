@@ -3,8 +3,9 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014):
 large-star and small-star steps until the edge set is a forest of stars, which
 takes O(log^2 n) rounds. Minima are plain aggregates with map-side combine
-and the neighbours come back by an equi-join, which adaptive execution can
-split, so that a centre with very many neighbours needs no single large task.
+and the neighbours come back by an equi-join on the node and a part of its
+neighbours, which adaptive execution can split further, so that a centre with
+very many neighbours needs no single large task.
 """
 
 from __future__ import annotations
@@ -67,11 +68,16 @@ def _pairs(df: DataFrame, u: Column, v: Column) -> DataFrame:
     return df.select(u.alias("u"), v.alias("v")).where("u <> v").distinct()
 
 
+#: Parts that a node's neighbours are dealt to where they meet its minimum.
+_SALTS = 4
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connects every neighbour larger than a node to the node's minimum."""
     near = _both(edges)
-    least = _min_of(near).select("u", F.least("u", "m").alias("m"))
-    return _pairs(near.join(least, "u").where("v > u"), F.col("v"), F.col("m"))
+    least = _min_of(near).select("u", F.least("u", "m").alias("m"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(_SALTS)])).alias("s"))
+    larger = near.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(_SALTS)))
+    return _pairs(larger.join(least, ["u", "s"]), F.col("v"), F.col("m"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

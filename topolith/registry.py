@@ -511,7 +511,10 @@ def batch_report(spark, sf_dir):
     return found.select("rule", "kind", formats.to_wkt(F.col("kind"), F.col("parts")).alias("wkt"))
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{d.name}', '{' '.join(d.extensions)}', {d.can_read}, {d.can_write})" for d in drivers.DRIVERS) + ") AS t(driver, extensions, can_read, can_write)")
+@_query(
+    "SELECT * FROM (VALUES ('GeoJSON', 'geojson json', TRUE, TRUE), ('GeoJSONSeq', 'geojsonl geojsons', TRUE, TRUE), ('ESRI Shapefile', 'shp', TRUE, TRUE), "
+    "('GPKG', 'gpkg', TRUE, TRUE), ('CSV', 'csv', TRUE, TRUE), ('Parquet', 'parquet', TRUE, TRUE)) AS t(driver, extensions, can_read, can_write)"
+)
 def list_drivers(spark, sf_dir):
     return drivers.list_drivers(spark)
 

@@ -18,7 +18,7 @@ class Driver:
 DRIVERS = (
     Driver("GeoJSON", ("geojson", "json"), True, True),
     Driver("GeoJSONSeq", ("geojsonl", "geojsons"), True, True),
-    Driver("ESRI Shapefile", ("shp",), True, False),
+    Driver("ESRI Shapefile", ("shp",), True, True),
     Driver("GPKG", ("gpkg",), True, True),
     Driver("CSV", ("csv",), True, True),
     Driver("Parquet", ("parquet",), True, True),
@@ -50,3 +50,28 @@ def driver_for(path: str, name: str | None = None) -> Driver:
     if not found:
         raise ValueError(f"no driver for .{extension}")
     return found[0]
+
+
+def driver_of_content(spark: SparkSession, path: str) -> Driver:
+    """The driver that a file's first bytes tell, whatever its name."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(sc._jsc.hadoopConfiguration()).open(place)
+    try:
+        head = bytes(stream.readNBytes(16))
+    finally:
+        stream.close()
+    text = head.lstrip(b"\xef\xbb\xbf \t\r\n")
+    if head.startswith(b"SQLite format 3"):
+        name = "GPKG"
+    elif head.startswith(b"PAR1"):
+        name = "Parquet"
+    elif head[:4] == (9994).to_bytes(4, "big"):
+        name = "ESRI Shapefile"
+    elif text.startswith(b"\x1e"):
+        name = "GeoJSONSeq"
+    elif text.startswith(b"{"):
+        name = "GeoJSON"
+    else:
+        name = "CSV"
+    return driver_for(path, name)

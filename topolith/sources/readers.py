@@ -53,12 +53,28 @@ def _expanded(df: DataFrame) -> DataFrame:
 
 
 def _geojson(spark: SparkSession, path: str, layer: str | None) -> DataFrame:
+    """A collection with a feature on each line is split among tasks; any other document is parsed whole."""
+    listed = _feature_lines(spark, path)
+    if listed is not None:
+        return _members(listed)
     v = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     kind = F.try_variant_get("v", "$.type", "string")
     features = F.when(kind == "FeatureCollection", F.try_variant_get("v", "$.features", "array<variant>")).otherwise(F.array("v"))
     return _members(v.select(F.explode(features).alias("f")))
 
 
+def _feature_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    """The features of a collection whose first line opens their list, if each other line is one feature or closes the list."""
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "[\r\t]", " ")).alias("value"))
+    head = lines.first()
+    if head is None or not re.search(r'"features"\s*:\s*\[$', head["value"]):
+        return None
+    body = lines.where(~F.col("value").isin("", "]", "}", "]}", "] }", head["value"]))
+    parsed = body.select(F.try_parse_json(F.regexp_replace("value", ",$", "")).alias("f"))
+    whole = F.col("f").isNotNull() & F.coalesce(F.try_variant_get("f", "$.type", "string") == "Feature", F.lit(False))
+    return parsed if parsed.where(~whole).isEmpty() else None
+
+
 def _members(features: DataFrame) -> DataFrame:
     own = F.try_variant_get("f", "$.type", "string") == "Feature"
     g = F.when(own, F.try_variant_get("f", "$.geometry", "variant")).otherwise(F.col("f"))
