@@ -45,6 +45,7 @@ def _corpus(seed, n=60):
 @pytest.mark.parametrize("seed,block", [(1, 1024), (2, 1024), (3, 4)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(simhash, "TEXTS", block)
+    monkeypatch.setattr(simhash, "FINGERPRINTS", block)
     texts = _corpus(seed)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r["id"]: r["component"] for r in simhash.similar_texts(df).collect()}

@@ -337,7 +337,7 @@ def _finder(shared, rule: Rule, kind: DataType):
         for whole in it:
             batch = pa.RecordBatch.from_arrays([whole], ["text"])
             rows = []
-            for piece in slices([batch], "text", 8 << 20):
+            for piece in slices([batch], "text", 4 << 20):
                 texts = piece.column("text").to_pylist()
                 for text, found in zip(texts, index.leaks([normal(t) for t in texts])):
                     at = spans(text, [(a, b) for _, _, a, b in found]) if found else []

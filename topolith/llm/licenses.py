@@ -160,8 +160,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     """``id_col``, ``licenses`` (sorted), ``n_licenses`` and ``matches`` of every row.
 
     A match has the license, the greatest share of its shingles that a window
-    holds, and the word (from 0) at which the first such window begins. Rows
-    without a match have empty arrays. Null and empty texts match nothing;
+    holds, and the word (from 0) at which the first window with that share begins. Rows
+    without a match have empty arrays. Null and empty texts match nothing, and very
+    long ones are read whole;
     rows of one id (or without id) share what is found in any of them;
     repeated rows stay. An empty table or no templates give no matches. Other
     columns are left out; names in them do not matter.
@@ -197,7 +198,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     found = signed.join(F.broadcast(entries), ["k", "c", "band", "least"])  # templates alone: 8 MB of words at most
     share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
     matches = found.select("id", "license", "word", share.alias("contained")).where(F.col("contained") >= CONTAINED)
-    best = matches.groupBy("id", "license").agg(F.max("contained").alias("contained"), F.min("word").alias("word"))
+    # of windows that hold as much the first
+    best = matches.groupBy("id", "license").agg(F.max(F.struct("contained", (-F.col("word")).alias("back"))).alias("best"))
+    best = best.select("id", "license", F.col("best.contained").alias("contained"), (-F.col("best.back")).alias("word"))
     by_id = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("license", "contained", "word"))).alias("matches"))  # a row a template at most
     ids = base.select("id")
     joined = ids.join(by_id, ids["id"].eqNullSafe(by_id["id"]), "left").select(ids["id"].alias(id_col), F.coalesce("matches", F.array().cast(empty)).alias("matches"))

@@ -38,6 +38,8 @@ _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 #: Distinct stretches that a task keeps encoded; beyond it the store starts anew.
 KEPT = 300_000
+#: Pairs of pieces that are known to follow each other, kept likewise.
+PAIRS = 1_000_000
 #: Characters of new stretches that are indexed at a time.
 BATCH = 300_000
 
@@ -100,6 +102,8 @@ class Vocabulary:
                 self.byte_ids[byte], self.bytes_of[i] = i, bytes([byte])
             elif kind in (4, 5):
                 raise ValueError("user-defined and unused pieces are not supported")
+        if any(MARK in piece.lstrip(MARK) for piece in self.rank):
+            raise ValueError("only models whose pieces have marks at their front alone are supported")
         if min(self.byte_ids) < 0:
             raise ValueError("only models with byte fallback are supported")
 
@@ -253,6 +257,8 @@ class Encoder:
         bounds = np.searchsorted(level[order], np.arange(1, int(sizes.max(initial=0)) + 2))
         last = np.full(len(codes) + 1, -1, np.int64)
         last[first] = self.start
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
         follows, wide = self.follows, len(self.size_of)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             before = last[start[a:b]]

@@ -5,7 +5,9 @@ A document is a bag of hashed features: its words, their character n-grams
 equal to the one before; a word met earlier in the text). Each feature has a
 learned vector; a document's vector is their average, and a softmax layer
 turns it into class probabilities. Vectors and layer are trained together by
-plain stochastic gradient descent in numpy.
+stochastic gradient descent in numpy, a document a step; a feature's step is
+its share of the document times the square root of the number of features, so
+that long documents move their vectors as far as short ones.
 
 For scoring, the layer is folded into the vectors: as the average is linear,
 each feature then carries one number, the difference of the two classes'
@@ -248,7 +250,9 @@ def scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
     """``id_col``, ``held_out``, ``score`` and ``predicted`` of every document, repeated rows included.
 
     ``predicted`` is 1 from ``settings.threshold`` on. Null ids are not held
-    out; an empty table gives an empty result.
+    out; null and empty texts get the bias's probability, equal texts equal
+    scores; very long texts are read whole, a part at a time. An empty table
+    gives an empty result; other columns are left out, whatever their names.
     """
     model = fit(docs, labels, settings, id_col, text_col)
     scored = score(docs.select(id_col, text_col), model, text_col)
@@ -256,7 +260,11 @@ def scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(),
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with their columns as they were."""
+    """The documents whose score reaches the threshold, with their columns as they were.
+
+    Null and empty texts are scored as any other; repeated rows stay or go alike;
+    an empty table gives an empty result.
+    """
     model = fit(docs, labels, settings, id_col, text_col)
     mark = "_score"
     while mark in docs.columns:

@@ -16,14 +16,15 @@ tile's size, spread over blocks, so that more machines shorten it.
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -192,8 +193,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Tables of tiles, and least hashes that a tile's key has.
 TABLES, ROWS = 6, 2
-#: Texts and shingles of a block at most, about.
-TEXTS, SHINGLES = 1024, 1 << 21
+#: Fingerprints of a block, and texts and shingles of one that has these, at most, about.
+FINGERPRINTS, TEXTS, SHINGLES = 2048, 1024, 1 << 21
+#: Parts that rows of one class are dealt to.
+SALTS = 8
 
 
 def radius_for(similarity: float, bits: int = 64) -> int:
@@ -246,26 +249,42 @@ def _tile_keys(h: np.ndarray) -> list[int]:
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id``, ``th`` (the text's hash), ``cls`` (its shingles' hash), ``fp``, ``n``, ``tiles`` and ``grams`` of each row."""
+    """``id``, ``th`` (the text's hash), ``cls`` (its shingles' hash), ``fp``, ``n`` (shingles) and ``tiles`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
-            cls, fps, sizes, tiles, grams = [], [], [], [], []
+        gc.collect()
+        for batch in slices(batches, "text", 4 << 20):
+            cls, fps, sizes, tiles = [], [], [], []
             for x in to_bytes(batch.column("text")):
                 h = shingle_set(x, shingle)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
                 fps.append(_bits(h))
                 sizes.append(len(h))
                 tiles.append(_tile_keys(h))
-                grams.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            arrays = [batch.column("id"), batch.column("th"), signed(cls), signed(fps), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.int64())), pa.array(grams, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "cls", "fp", "n", "tiles", "grams"])
+            arrays = [batch.column("id"), batch.column("th"), signed(cls), signed(fps), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "cls", "fp", "n", "tiles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return source.mapInArrow(run, f"id {kind}, th long, cls long, fp long, n long, tiles array<long>, grams binary")
+    return source.mapInArrow(run, f"id {kind}, th long, cls long, fp long, n long, tiles array<long>")
+
+
+def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``cls`` and ``grams`` (hashes of its shingles) of each wanted class, from the text of the row that stands for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        for batch in slices(batches, "text", 4 << 20):
+            grams = [np.unique((shingle_set(x, shingle) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in to_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(grams, pa.binary())], ["cls", "grams"])
+
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    heads = wanted.select("cls", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
+    meets = rows["id"].eqNullSafe(heads["head_id"]) & (rows["th"] == heads["head_th"])
+    return rows.join(heads, meets).select("cls", "text").mapInArrow(run, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -273,32 +292,41 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def alike_links(fps: list[np.ndarray], grams: list[list[bytes]], similarity: float, radius: int, step: int = 256) -> list[tuple[int, int]]:
-    """Links between texts of one block, or of two, that connect all that are alike; numbers run on from the first block to the second.
+def near_pairs(
+    a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, same: bool, similarity: float, radius: int, step: int = 256
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in two blocks of fingerprints (or in one, each pair once), and the bits in which they differ.
 
-    Exclusive-or and bit counts of all pairs leave the near ones; of these, nearest
-    first, shingles are compared unless other links connect the pair already.
+    Exclusive-or and bit counts of all pairs; blocks whose population counts
+    differ beyond the radius are skipped, and pairs whose sizes can't be alike are left out.
     """
-    same = len(fps) == 1
-    a, b = fps[0], fps[-1]
-    sets = [np.frombuffer(g, np.uint32) for block in grams for g in block]
-    size = np.array([len(x) for x in sets])
-    shift = 0 if same else len(a)
     ones = [np.bitwise_count(x).astype(np.int64) for x in (a, b)]
     if not len(a) or not len(b) or ones[0].min() - ones[1].max() > radius or ones[1].min() - ones[0].max() > radius:
-        return []  # population counts differ beyond the radius
-    near_i, near_j, near_d = [], [], []
+        return
     for k in range(0, len(a), step):
         d = np.bitwise_count(a[k : k + step, None] ^ b[None, :])
         i, j = np.nonzero(d <= radius)
-        d = d[i, j]
-        i, j = i + k, j + shift
-        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        d, i = d[i, j], i + k
+        ok = np.minimum(size_a[i], size_b[j]) >= similarity * np.maximum(size_a[i], size_b[j])
         ok &= (i < j) if same else True
-        near_i.append(i[ok])
-        near_j.append(j[ok])
-        near_d.append(d[ok])
-    i, j, d = map(np.concatenate, (near_i, near_j, near_d))
+        if ok.any():
+            yield i[ok], j[ok], d[ok]
+
+
+def alike_links(fps: list[np.ndarray], grams: list[list[bytes]], similarity: float, radius: int) -> list[tuple[int, int]]:
+    """Links between texts of one block, or of two, that connect all that are alike; numbers run on from the first block to the second.
+
+    Of the near pairs, nearest first, shingles are compared unless other links
+    connect the pair already.
+    """
+    same, shift = len(fps) == 1, 0 if len(fps) == 1 else len(fps[0])
+    sets = [np.frombuffer(g, np.uint32) for block in grams for g in block]
+    size = np.array([len(x) for x in sets])
+    found = list(near_pairs(fps[0], fps[-1], size[: len(fps[0])], size[shift:], same, similarity, radius))
+    if not found:
+        return []
+    i, j, d = map(np.concatenate, zip(*found))
+    j = j + shift
     order = np.argsort(d, kind="stable")
     i, j = i[order], j[order]
     label, out, chunk = np.arange(len(sets)), [], 64
@@ -313,12 +341,45 @@ def alike_links(fps: list[np.ndarray], grams: list[list[bytes]], similarity: flo
     return out
 
 
-def _alike_in(blocks: DataFrame, names: list[str], similarity: float, radius: int) -> DataFrame:
+def _near_in(blocks: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``at, tile, cls`` of the texts with another one within the radius, and of a size that lets them be alike."""
+    sides = [c for c in ("a", "b") if c in blocks.columns]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        for batch in batches:
+            at, tile, found = [], [], []
+            cols = {c: batch.column(c) for c in sides}
+            flat = {c: [cols[c].values.field(k).to_numpy() for k in range(3)] for c in sides}
+            ends = {c: cols[c].offsets.to_numpy() for c in sides}
+            for row, (x, y) in enumerate(zip(batch.column("at").to_pylist(), batch.column("tile").to_pylist())):
+                held = [[v[ends[c][row] : ends[c][row + 1]] for v in flat[c]] for c in sides]
+                one, two = held[0], held[-1]
+                mark = [np.zeros(len(h[0]), bool) for h in held]
+                for i, j, _ in near_pairs(one[1].view(np.uint64), two[1].view(np.uint64), one[2], two[2], len(held) == 1, similarity, radius):
+                    mark[0][i] = True
+                    mark[-1][j] = True
+                for h, m in zip(held, mark):
+                    cls = h[0][m]
+                    found.append(cls)
+                    at += [x] * len(cls)
+                    tile += [y] * len(cls)
+            cls = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(tile, pa.int64()), pa.array(cls, pa.int64())], ["at", "tile", "cls"])
+
+    return blocks.mapInArrow(run, "at int, tile long, cls long")
+
+
+def _alike_in(blocks: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links between classes, ``src`` and ``dst``."""
+    sides = [c for c in ("a", "b") if c in blocks.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
         for batch in batches:
             src, dst = [], []
             for row in range(batch.num_rows):
-                held = [batch.column(n)[row].as_py() for n in names]
+                held = [batch.column(c)[row].as_py() for c in sides]
                 cls = [x["cls"] for block in held for x in block]
                 fps = [np.array([x["fp"] for x in block], np.int64).view(np.uint64) for block in held]
                 for i, j in alike_links(fps, [[x["grams"] for x in block] for block in held], similarity, radius):
@@ -326,7 +387,7 @@ def _alike_in(blocks: DataFrame, names: list[str], similarity: float, radius: in
                     dst.append(cls[j])
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return blocks.select(*names).mapInArrow(run, "src long, dst long")
+    return blocks.select(*sides).mapInArrow(run, "src long, dst long")
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -338,30 +399,46 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so that population counts alone skip little; tiles are texts that share two
     least hashes in one of six tables, which at 0.8 loses two pairs in a thousand.
     In a tile, and between the blocks of a large one, exclusive-or and bit counts leave
-    the near pairs, and their shingles decide. Tiles of very common shingles cost
+    the near pairs; only their texts' shingles are sent to the tile, and decide. Tiles of very common shingles cost
     the square of their texts in bit counts, spread over pairs of blocks.
 
     Null and empty texts are alike. One row for each input row; an empty table gives an empty result.
     """
     radius = radius_for(similarity)
-    marked = stored(_marks(docs, id_col, text_col, shingle))
-    classes = stored(marked.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("tiles").alias("tiles")))
+    marked = stored(_marks(docs, id_col, text_col, shingle)).withColumn("s", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)))
+    head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "th")).alias("head")
+    classes = stored(marked.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("tiles").alias("tiles"), head))
     keyed = classes.where("n > 0").select("cls", "fp", "n", F.posexplode("tiles").alias("at", "tile"))
-    tiles = keyed.groupBy("at", "tile").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles")).where("texts > 1")
-    parts = F.ceil(F.greatest(F.col("texts") / TEXTS, F.col("shingles") / SHINGLES)).cast("long")
-    shared = stored(keyed.join(tiles.select("at", "tile", parts.alias("parts")), ["at", "tile"]).select("at", "tile", "parts", "cls", "fp"))
-    grams = marked.select("cls", "grams").join(shared.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
-    blocks = stored(
-        shared.join(grams, "cls")
-        .groupBy("at", "tile", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("cls", "fp", "grams")).alias("block"))
-    )
-    within = _alike_in(blocks, ["block"], similarity, radius)
+    tiles = keyed.groupBy("at", "tile").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    parts = F.ceil(F.col("texts") / F.lit(FINGERPRINTS)).cast("long")
+    shared = keyed.join(tiles.select("at", "tile", parts.alias("parts")), ["at", "tile"])
+    # fingerprints alone first: only texts that have a near one in their tile send their shingles there
+    near = stored(_paired(_blocks(shared, "cls", "fp", "n"), lambda blocks: _near_in(blocks, similarity, radius)).distinct())
+    grams = _grams(docs, near.select("cls").distinct().join(classes.select("cls", "head"), "cls"), id_col, text_col, shingle)
+    full = near.join(classes.select("cls", "fp", "n"), "cls")
+    sizes = full.groupBy("at", "tile").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TEXTS), F.sum("n") / F.lit(SHINGLES))).cast("long").alias("parts"))
+    blocks = stored(_blocks(full.join(sizes, ["at", "tile"]).join(grams, "cls"), "cls", "fp", "grams"))
+    linked = connected_components(_paired(blocks, lambda held: _alike_in(held, similarity, radius)))
+    spread = linked.select(F.col("node").alias("cls"), "component", _salts())
+    return marked.select("id", "th", "cls", "s").join(spread, ["cls", "s"], "left").select("id", "th", F.coalesce("component", "cls").alias("component"))
+
+
+def _salts() -> Column:
+    """A row for each of the parts that rows of one class are dealt to, however many they are."""
+    return F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("s")
+
+
+def _blocks(rows: DataFrame, *columns: str) -> DataFrame:
+    """``at, tile, parts, part, block``: the texts of each tile, dealt to its parts."""
+    return rows.groupBy("at", "tile", "parts", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct(*columns)).alias("block"))
+
+
+def _paired(blocks: DataFrame, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``compare`` finds within each block (column ``a``), and between the blocks of a tile (``a`` and ``b``)."""
     large = blocks.where("parts > 1")
-    other = large.select("at", "tile", F.col("part").alias("part_b"), F.col("block").alias("block_b"))
-    across = _alike_in(large.join(other, ["at", "tile"]).where("part < part_b"), ["block", "block_b"], similarity, radius)
-    linked = connected_components(within.unionByName(across)).withColumnRenamed("node", "cls")
-    return marked.select("id", "th", "cls").join(linked, "cls", "left").select("id", "th", F.coalesce("component", "cls").alias("component"))
+    other = large.select("at", "tile", F.col("part").alias("part_b"), F.col("block").alias("b"))
+    within = compare(blocks.select("at", "tile", F.col("block").alias("a")))
+    return within.unionByName(compare(large.withColumnRenamed("block", "a").join(other, ["at", "tile"]).where("part < part_b").select("at", "tile", "a", "b")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
