@@ -10,7 +10,7 @@ very many neighbours needs no single large task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .materialize import Stored
@@ -25,19 +25,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     out; repeated edges count once; an empty table gives an empty result.
     """
     lo, hi = F.least(src, dst), F.greatest(src, dst)
-    held = Stored(
+    given = (
         edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
         .select(hi.alias("u"), lo.alias("v"))
         .distinct()
     )
-    before = _state(held.df)
+    held, before = _told(given)
     for _ in range(max_rounds):
-        if not before[0]:
+        if not before["n"]:
             break
-        following = Stored(_small_star(_large_star(held.df)))
+        following, after = _told(_small_star(_large_star(held.df)))
         held.drop()
         held = following
-        after = _state(held.df)
         if after == before:
             break
         before = after
@@ -47,13 +46,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return members.unionByName(held.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count(F.lit(1)),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-        F.bit_xor(F.xxhash64("v", "u")),
-    ).first()
-    return tuple(row)
+def _told(edges: DataFrame) -> tuple[Stored, dict]:
+    """Edges written, and what tells them from other sets of edges, found while they are written."""
+    seen = Observation()
+    marks = [
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(F.xxhash64("v", "u")).alias("xor"),
+    ]
+    return Stored(edges.observe(seen, *marks)), seen.get
 
 
 def _both(edges: DataFrame) -> DataFrame:
