@@ -91,3 +91,40 @@ def test_large_groups_compare_few_shingles(monkeypatch):
     grams = [np.delete(base, k).tobytes() for k in range(300)]
     links = simhash.alike_links([np.zeros(300, np.uint64)], [grams], 0.8, 18)
     assert len(links) == 299 and len(calls) == 299
+
+
+def test_the_whole_query_equals_brute_force(spark):
+    """Fingerprints and components of ``near_duplicates`` over all pairs, as its contract has them."""
+    import re
+
+    import xxhash
+
+    r = random.Random(8)
+    texts = ["", None, " \t", "one", "One", "two words", "a b c", "A b  C"]
+    for _ in range(25):
+        base = [f"w{r.randrange(300)}" for _ in range(r.choice([5, 40, 400, 1500]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            w[r.randrange(len(w))] = f"c{r.random()}"
+            texts.append(" ".join(w))
+    ids = r.sample(range(-100, 1000), len(texts))
+
+    def fingerprint(text):
+        words = re.findall("[^\x20\x09-\x0d]+", (text or "").lower())
+        if not words:
+            return 0
+        hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    fps = [fingerprint(t) for t in texts]
+    label = list(ids)
+    for i in range(len(ids)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(set(label)) < len(ids) - 20
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash.near_duplicates(df).collect()}
+    assert found == {i: (f"{fp:016x}", c) for i, fp, c in zip(ids, fps, label)}
