@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import on_segment
@@ -38,7 +38,7 @@ def merge_lines(lines: DataFrame, cell: float | None = None, max_rounds: int = 5
     """
     held = Stored(lines.where(F.size("coords") > 1).select("fid", F.col("part").cast("int").alias("part"), "coords", F.lit(1).cast("long").alias("members")))
     for _ in range(max_rounds):
-        keyed = held.df.withColumn("id", F.struct("fid", "part"))
+        keyed = held.df.withColumn("id", _key())
         nodes = Stored(_nodes(keyed, cell))
         free = nodes.df.where("lines = 2 and ends")
         if free.isEmpty():
@@ -53,6 +53,11 @@ def merge_lines(lines: DataFrame, cell: float | None = None, max_rounds: int = 5
     raise RuntimeError(f"lines still merge after {max_rounds} rounds")
 
 
+def _key() -> Column:
+    """A line's name in one number. Two lines of one number would only share a group; chains are told apart by places."""
+    return F.xxhash64("fid", "part")
+
+
 def _nodes(lines: DataFrame, cell: float | None) -> DataFrame:
     """For each place at which lines end: how many lines touch it, and whether all do with an end."""
     at = endpoints(lines.select("fid", "part", "coords")).select("x", "y").distinct()
@@ -67,8 +72,8 @@ def _nodes(lines: DataFrame, cell: float | None) -> DataFrame:
     return ended.groupBy("x", "y").agg(
         F.count(F.lit(1)).alias("lines"),
         F.bool_and("end").alias("ends"),
-        F.min(F.struct("fid", "part")).alias("least"),
-        F.max(F.struct("fid", "part")).alias("most"),
+        F.min(_key()).alias("least"),
+        F.max(_key()).alias("most"),
     )
 
 
@@ -80,10 +85,9 @@ def _round(lines: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFram
     # what a component has to know of its nodes: where it may join, and where others touch it
     known = ends.join(nodes, ["x", "y"])
     at = lambda k: F.transform("coords", lambda c: c[k])
-    key = [F.col("component.fid").alias("cf"), F.col("component.part").alias("cp")]
-    left = parts.select(*key, F.lit(1).alias("line"), "fid", "part", "members", at("x").alias("xs"), at("y").alias("ys"))
+    left = parts.select("component", F.lit(1).alias("line"), "fid", "part", "members", at("x").alias("xs"), at("y").alias("ys"))
     right = known.select(
-        *key,
+        "component",
         F.lit(0).alias("line"),
         F.expr("cast(lines = 2 and ends as long)").alias("fid"),
         F.expr("cast(lines > 2 as int)").alias("part"),
@@ -92,7 +96,7 @@ def _round(lines: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFram
         F.array("y").alias("ys"),
     )
     # a component's nodes and lines stand one after the other in a partition, which holds one component at a time
-    dealt = left.unionByName(right).repartition("cf", "cp").sortWithinPartitions("cf", "cp", "line", "fid", "part")
+    dealt = left.unionByName(right).repartition("component").sortWithinPartitions("component", "line", "fid", "part")
     return stay.unionByName(dealt.mapInArrow(_chains, _LINES))
 
 
@@ -110,12 +114,12 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist(out, _ARROW)
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("cf", "cp", "line", "fid", "part", "members", "xs", "ys")]
-        for cf, cp, line, fid, part, members, xs, ys in zip(*columns):
-            if (cf, cp) != key:
+        columns = [batch.column(n).to_pylist() for n in ("component", "line", "fid", "part", "members", "xs", "ys")]
+        for component, line, fid, part, members, xs, ys in zip(*columns):
+            if component != key:
                 out += _chain(lines, free, touched)
                 vertices += sum(len(r[3]) for r in lines)
-                key, lines, free, touched = (cf, cp), [], set(), set()
+                key, lines, free, touched = component, [], set(), set()
                 if vertices > 100_000:
                     yield table()
                     out, vertices = [], 0
