@@ -191,6 +191,11 @@ def _square(box: int, *ends: str) -> str:
     return f"CAST(floor({least.format(x)} / {box}) AS BIGINT) AS cx, CAST(floor({least.format(y)} / {box}) AS BIGINT) AS cy"
 
 
+def _near(step: str) -> str:
+    """Rows of a step with squares, once for each neighbouring square."""
+    return f"SELECT s.*, s.cx + k.i AS nx, s.cy + k.j AS ny FROM {step} s CROSS JOIN {_AROUND}"
+
+
 def _meetings(source: str, box: int = 8) -> dict[str, str]:
     """Named steps that end in ``m``: all meetings of the distinct segments of a source, none wider or higher than ``box``."""
     lexic = lambda f, x, y: f"CASE WHEN {x}1 < {x}2 OR ({x}1 = {x}2 AND {y}1 <= {y}2) THEN {f}1 ELSE {f}2 END"
@@ -205,13 +210,14 @@ def _meetings(source: str, box: int = 8) -> dict[str, str]:
     return {
         "d": f"SELECT DISTINCT x1, y1, x2, y2 FROM {source} WHERE NOT (x1 = x2 AND y1 = y2)",
         "e": f"SELECT *, {_square(box, '1', '2')}, {lexic('x', 'x', 'y')} AS sx, {lexic('y', 'x', 'y')} AS sy, {other('x', 'x', 'y')} AS tx, {other('y', 'x', 'y')} AS ty FROM d",
+        "n": _near("e"),
         "p": f"""SELECT a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2,
             {_turn("a", ("b.y1", "b.x1"))} AS o1, {_turn("a", ("b.y2", "b.x2"))} AS o2, {_turn("b", ("a.y1", "a.x1"))} AS o3, {_turn("b", ("a.y2", "a.x2"))} AS o4,
             CASE WHEN a.sx > b.sx OR (a.sx = b.sx AND a.sy > b.sy) THEN a.sx ELSE b.sx END AS lx,
             CASE WHEN a.sx > b.sx OR (a.sx = b.sx AND a.sy > b.sy) THEN a.sy ELSE b.sy END AS ly,
             CASE WHEN a.tx < b.tx OR (a.tx = b.tx AND a.ty < b.ty) THEN a.tx ELSE b.tx END AS hx,
             CASE WHEN a.tx < b.tx OR (a.tx = b.tx AND a.ty < b.ty) THEN a.ty ELSE b.ty END AS hy
-            FROM e a CROSS JOIN {_AROUND} JOIN e b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
+            FROM n a JOIN e b ON b.cx = a.nx AND b.cy = a.ny AND least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2)
             AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
             AND (a.x1 < b.x1 OR (a.x1 = b.x1 AND (a.y1 < b.y1 OR (a.y1 = b.y1 AND (a.x2 < b.x2 OR (a.x2 = b.x2 AND a.y2 < b.y2))))))""",
         "q": f"""SELECT *, CASE WHEN {line} AND ({before}) THEN 'collinear' WHEN {line} AND lx = hx AND ly = hy THEN 'improper' WHEN {line} THEN NULL
@@ -250,8 +256,8 @@ def _contained(a: str, b: str) -> str:
 
 
 @_query(
-    _with("fx_seg", "fx_seg_other", p=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg", q=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg_other")
-    + f"SELECT b.fid AS fid, b.x1 + 0.0 AS x1, b.y1 + 0.0 AS y1, b.x2 + 0.0 AS x2, b.y2 + 0.0 AS y2 FROM p a CROSS JOIN {_AROUND} JOIN q b ON b.cx = a.cx + k.i AND b.cy = a.cy + k.j AND {_contained('a', 'b')} "
+    _with("fx_seg", "fx_seg_other", p=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg", q=f"SELECT *, {_square(8, '1', '2')} FROM fx_seg_other", n=_near("p"))
+    + f"SELECT b.fid AS fid, b.x1 + 0.0 AS x1, b.y1 + 0.0 AS y1, b.x2 + 0.0 AS x2, b.y2 + 0.0 AS y2 FROM n a JOIN q b ON b.cx = a.nx AND b.cy = a.ny AND {_contained('a', 'b')} "
     "WHERE NOT (a.x1 = a.x2 AND a.y1 = a.y2) AND NOT (b.x1 = b.x2 AND b.y1 = b.y2)"
 )
 def line_must_not_overlap_with(spark, sf_dir):
