@@ -69,7 +69,7 @@ def test_rows_of_one_id(spark):
 
 def test_near_copies_lie_within_the_radius():
     r = random.Random(5)
-    radius, near, total = simhash.radius_for(0.8), 0, 0
+    radius, far, near, total = simhash.radius_for(0.8), simhash.radius_for(0.8, 64 * simhash.WORDS), 0, 0
     for _ in range(400):
         words = [f"w{r.random()}" for _ in range(200)]
         changed = list(words)
@@ -78,11 +78,19 @@ def test_near_copies_lie_within_the_radius():
         a, b = (simhash.shingle_set(" ".join(x).encode(), 5) for x in (words, changed))
         if simhash._alike(a, b, 0.8):
             total += 1
-            near += bin(simhash._bits(a) ^ simhash._bits(b)).count("1") <= radius
+            d = np.bitwise_count(simhash._bits(a) ^ simhash._bits(b))
+            near += d[0] <= radius and d.sum() <= far
             assert set(simhash._tile_keys(a)) & set(simhash._tile_keys(b)) or total > 0
     assert total > 100 and near >= 0.995 * total
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 24, 25, 75, 400, 9000])
+def test_bits_are_counted(n):
+    rows = np.random.default_rng(n).integers(0, 2**64, (n, 3), dtype=np.uint64)
+    want = [int((rows[:, k] >> np.uint64(b) & np.uint64(1)).sum()) for k in range(3) for b in range(64)]
+    assert simhash._ones(rows).tolist() == want
+
+
 def test_large_groups_compare_few_shingles(monkeypatch):
     calls = []
     own = simhash._alike

@@ -224,12 +224,38 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
 
 
-def _bits(h: np.ndarray) -> int:
-    """The fingerprint of a set of hashes."""
-    counts, step = np.zeros(64, np.int64), 1 << 16
-    for i in range(0, len(h), step):
-        counts += np.unpackbits(h[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+#: Words of 64 bits in a wide fingerprint; the first is the fingerprint itself.
+WORDS = 16
+_TURN = np.array([1] + [(0xD6E8FEB86659FD93 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(1, WORDS)], np.uint64)
+
+
+def _ones(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set. Three rows add up to one and a row of carries, until few are left."""
+    counts, weight = np.zeros(64 * rows.shape[1], np.int64), 0
+    while len(rows):
+        carries = []
+        while len(rows) > 24:
+            m = len(rows) // 3
+            a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+            t = a ^ b
+            carries.append((a & b) | (t & c))
+            rows = np.concatenate((t ^ c, rows[3 * m :]))
+        bits = np.unpackbits(np.ascontiguousarray(rows, "<u8").view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8).astype(np.int64) << weight
+        rows = np.concatenate(carries) if carries else rows[:0]
+        weight += 1
+    return counts
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of a set of hashes: of the hashes themselves, and of them mixed anew for each further word."""
+    counts, step = np.zeros(64 * WORDS, np.int64), 1 << 13
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), step):
+            x = h[i : i + step, None] * _TURN
+            x[:, 1:] ^= x[:, 1:] >> np.uint64(32)
+            counts += _ones(x)
+    return np.packbits((2 * counts > len(h)).astype(np.uint8), bitorder="little").view("<u8")
 
 
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) | 1 for k in range(TABLES * ROWS)], np.uint64)
@@ -249,26 +275,28 @@ def _tile_keys(h: np.ndarray) -> list[int]:
 
 
 def _marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id``, ``th`` (the text's hash), ``cls`` (its shingles' hash), ``fp``, ``n`` (shingles) and ``tiles`` of each row."""
+    """``id``, ``th`` (the text's hash), ``cls`` (its shingles' hash), ``fp``, ``n`` (shingles), ``tiles`` and ``wide`` of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.collect()
         for batch in slices(batches, "text", 4 << 20):
-            cls, fps, sizes, tiles = [], [], [], []
+            cls, fps, sizes, tiles, wide = [], [], [], [], []
             for x in to_bytes(batch.column("text")):
                 h = shingle_set(x, shingle)
                 cls.append(xxhash.xxh64_intdigest(h.tobytes(), 1))
-                fps.append(_bits(h))
+                words = _bits(h)
+                fps.append(int(words[0]))
+                wide.append(words.tobytes())
                 sizes.append(len(h))
                 tiles.append(_tile_keys(h))
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            arrays = [batch.column("id"), batch.column("th"), signed(cls), signed(fps), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "cls", "fp", "n", "tiles"])
+            arrays = [batch.column("id"), batch.column("th"), signed(cls), signed(fps), pa.array(sizes, pa.int64()), pa.array(tiles, pa.list_(pa.int64())), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "th", "cls", "fp", "n", "tiles", "wide"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return source.mapInArrow(run, f"id {kind}, th long, cls long, fp long, n long, tiles array<long>")
+    return source.mapInArrow(run, f"id {kind}, th long, cls long, fp long, n long, tiles array<long>, wide binary")
 
 
 def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -342,7 +370,8 @@ def alike_links(fps: list[np.ndarray], grams: list[list[bytes]], similarity: flo
 
 
 def _near_in(blocks: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """``at, tile, cls`` of the texts with another one within the radius, and of a size that lets them be alike."""
+    """``at, tile, cls`` of the texts with another one within the radius, by wide fingerprints too, and of a size that lets them be alike."""
+    far = radius_for(similarity, 64 * WORDS)
     sides = [c for c in ("a", "b") if c in blocks.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +380,19 @@ def _near_in(blocks: DataFrame, similarity: float, radius: int) -> DataFrame:
             at, tile, found = [], [], []
             cols = {c: batch.column(c) for c in sides}
             flat = {c: [cols[c].values.field(k).to_numpy() for k in range(3)] for c in sides}
+            for c in sides:
+                flat[c].append(np.frombuffer(b"".join(cols[c].values.field(3).to_pylist()), "<u8").reshape(-1, WORDS))
             ends = {c: cols[c].offsets.to_numpy() for c in sides}
             for row, (x, y) in enumerate(zip(batch.column("at").to_pylist(), batch.column("tile").to_pylist())):
                 held = [[v[ends[c][row] : ends[c][row + 1]] for v in flat[c]] for c in sides]
                 one, two = held[0], held[-1]
                 mark = [np.zeros(len(h[0]), bool) for h in held]
                 for i, j, _ in near_pairs(one[1].view(np.uint64), two[1].view(np.uint64), one[2], two[2], len(held) == 1, similarity, radius):
-                    mark[0][i] = True
-                    mark[-1][j] = True
+                    for k in range(0, len(i), 1 << 15):
+                        x1, x2 = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                        ok = np.bitwise_count(one[3][x1] ^ two[3][x2]).sum(axis=1, dtype=np.int64) <= far
+                        mark[0][x1[ok]] = True
+                        mark[-1][x2[ok]] = True
                 for h, m in zip(held, mark):
                     cls = h[0][m]
                     found.append(cls)
@@ -399,7 +433,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     so that population counts alone skip little; tiles are texts that share two
     least hashes in one of six tables, which at 0.8 loses two pairs in a thousand.
     In a tile, and between the blocks of a large one, exclusive-or and bit counts leave
-    the near pairs; only their texts' shingles are sent to the tile, and decide. Tiles of very common shingles cost
+    the near pairs, first on 64 bits and then on 1,024; only their texts' shingles are sent to the tile, and decide. Tiles of very common shingles cost
     the square of their texts in bit counts, spread over pairs of blocks.
 
     Null and empty texts are alike. One row for each input row; an empty table gives an empty result.
@@ -407,14 +441,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     radius = radius_for(similarity)
     marked = stored(_marks(docs, id_col, text_col, shingle)).withColumn("s", F.pmod(F.xxhash64("id", "th"), F.lit(SALTS)))
     head = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "th")).alias("head")
-    classes = stored(marked.groupBy("cls").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("tiles").alias("tiles"), head))
-    keyed = classes.where("n > 0").select("cls", "fp", "n", F.posexplode("tiles").alias("at", "tile"))
+    classes = stored(marked.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("fp", "n", "tiles", "wide")], head))
+    keyed = classes.where("n > 0").select("cls", "fp", "n", "wide", F.posexplode("tiles").alias("at", "tile"))
     tiles = keyed.groupBy("at", "tile").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     parts = F.ceil(F.col("texts") / F.lit(FINGERPRINTS)).cast("long")
     shared = keyed.join(tiles.select("at", "tile", parts.alias("parts")), ["at", "tile"])
     # fingerprints alone first: only texts that have a near one in their tile send their shingles there
-    near = stored(_paired(_blocks(shared, "cls", "fp", "n"), lambda blocks: _near_in(blocks, similarity, radius)).distinct())
-    grams = _grams(docs, near.select("cls").distinct().join(classes.select("cls", "head"), "cls"), id_col, text_col, shingle)
+    near = stored(_paired(_blocks(shared, "cls", "fp", "n", "wide"), lambda blocks: _near_in(blocks, similarity, radius)).distinct())
+    wanted = stored(near.select("cls").distinct().join(classes.select("cls", "head"), "cls"))
+    grams = _grams(docs, wanted, id_col, text_col, shingle)
     full = near.join(classes.select("cls", "fp", "n"), "cls")
     sizes = full.groupBy("at", "tile").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(TEXTS), F.sum("n") / F.lit(SHINGLES))).cast("long").alias("parts"))
     blocks = stored(_blocks(full.join(sizes, ["at", "tile"]).join(grams, "cls"), "cls", "fp", "grams"))
