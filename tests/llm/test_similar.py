@@ -136,3 +136,28 @@ def test_the_whole_query_equals_brute_force(spark):
     df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
     found = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash.near_duplicates(df).collect()}
     assert found == {i: (f"{fp:016x}", c) for i, fp, c in zip(ids, fps, label)}
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_texts_that_stay_are_not_moved(spark):
+    """Joins that can't be broadcast move the texts that they may find, not all."""
+    r = random.Random(8)
+    texts = [" ".join(f"{r.randrange(16**8):x}" for _ in range(3000)) for _ in range(200)]
+    texts += [f"{t} more" for t in texts[:3]] + texts[3:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs.localCheckpoint()
+        before = _shuffled(spark)
+        left = sorted(x["doc_id"] for x in simhash.keep_one(docs).collect())
+        moved = _shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert left == list(range(200))
+    assert moved < sum(map(len, texts)) / 2

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.materialize import stored
-from .common import slices, text_or_empty, to_bytes
+from .common import may_meet, slices, text_or_empty, to_bytes
 
 #: Fingerprints in one block of a tile at most.
 BLOCK = 2048
@@ -311,6 +311,8 @@ def _grams(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shing
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     heads = wanted.select("cls", F.col("head.id").alias("head_id"), F.col("head.th").alias("head_th"))
+    # only texts that may be wanted are moved
+    rows = may_meet(rows, wanted.select("head.id", "head.th"), ["id", "th"], "may").where("may").drop("may")
     meets = rows["id"].eqNullSafe(heads["head_id"]) & (rows["th"] == heads["head_th"])
     return rows.join(heads, meets).select("cls", "text").mapInArrow(run, "cls long, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
 
@@ -492,21 +494,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     own = F.col("id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
     told = stored(held.join(head.where("size > 1"), "component").select("id", "th", own.alias("own")).groupBy("id", "th").agg(F.bool_or("own").alias("own"), F.count(F.lit(1)).alias("rows")))
     mark = "_th"
-    while mark in docs.columns:
+    while mark in docs.columns or mark + "_may" in docs.columns:
         mark += "_"
     marked = docs.withColumn(mark, F.xxhash64(text_or_empty(text_col)))
+    # rows that stay as they are aren't moved: only those that may go or come in several rows meet what was found
+    changed = told.where("not own or rows > 1")
+    sought = changed.select(F.col("id").alias(id_col), F.col("th").alias(mark))
+    sieved = may_meet(marked, sought, [id_col, mark], mark + "_may")
+    still = sieved.where(~F.col(mark + "_may")).drop(mark, mark + "_may")
+    met = sieved.where(mark + "_may").drop(mark + "_may")
 
     def meets(which: DataFrame):
-        return marked[id_col].eqNullSafe(which["_id"]) & (marked[mark] == which["_text"])
+        return met[id_col].eqNullSafe(which["_id"]) & (met[mark] == which["_text"])
 
     def named(where: str) -> DataFrame:
-        return told.where(where).select(F.col("id").alias("_id"), F.col("th").alias("_text"))
+        return changed.where(where).select(F.col("id").alias("_id"), F.col("th").alias("_text"))
 
-    # the heads of groups that come in several equal rows are dealt with apart, so that others needn't move
-    away, several = named("not own or rows > 1"), named("own and rows > 1")
-    alone = marked.join(away, meets(away), "left_anti")
-    one = _first(marked.join(several, meets(several), "left_semi"), [id_col, mark], [text_col])
-    return alone.unionByName(one).drop(mark)
+    # the heads of groups that come in several equal rows are dealt with apart
+    away, several = named("true"), named("own")
+    alone = met.join(away, meets(away), "left_anti")
+    one = _first(met.join(several, meets(several), "left_semi"), [id_col, mark], [text_col])
+    return still.unionByName(alone.unionByName(one).drop(mark))
 
 
 def _first(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
