@@ -1,7 +1,11 @@
 """What keeps rules and files within memory on large tables, looked at on small ones."""
 
+import pyarrow as pa
+import pytest
+
 from topolith.operators import lines, polygons
 from topolith.operators.transforms import boundary_segments
+from topolith.sources import readers, writers
 
 from .helpers import polygons as polygons_of
 from .helpers import lines as lines_of
@@ -32,3 +36,37 @@ def test_undirected_edges_are_aggregated_in_hash_maps(spark, tmp_path):
     # directions stay: the common edge passes, all others are there as they stand
     edges = rows(boundary_segments(p).where("not (x1 = 1 and x2 = 1 and y1 + y2 = 1)"), "fid", "x1", "y1", "x2", "y2")
     assert rows(found, "fid", "x1", "y1", "x2", "y2") == edges
+
+
+@pytest.mark.parametrize("name", ["a.geojson", "a.gpkg", "a.shp"])
+def test_single_files_are_written_without_sending_features_to_the_driver(spark, tmp_path, monkeypatch, name):
+    line = [([(float(k), 0.0), (float(k), 1.0)], None) for k in range(3)]
+    df = spark.createDataFrame([("LineString", [p]) for p in line], "kind string, parts array<struct<coords:array<struct<x:double,y:double>>,rings:array<array<struct<x:double,y:double>>>>>")
+
+    def refused(*_, **__):
+        raise AssertionError("features come as results of tasks")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "toLocalIterator", refused)
+        writers.write_features(df.coalesce(1), str(tmp_path / name))
+    found = readers.read_features(spark, str(tmp_path / name))
+    assert [[c["x"] for c in r["parts"][0]["coords"]] for r in found.orderBy("fid").collect()] == [[0.0, 0.0], [1.0, 1.0], [2.0, 2.0]]
+
+
+def test_features_of_a_file_are_not_held_all_at_once():
+    made = []
+
+    def parse(data):
+        for k in range(20_000):
+            made.append(k)
+            yield "Point", [{"coords": [{"x": float(k), "y": 0.0}], "rings": None}]
+
+    class Held:
+        """Stands for a frame: gives the function that tasks run."""
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    out = readers._parsed(Held(), parse)(iter([pa.RecordBatch.from_pylist([{"content": b"x"}], pa.schema([("content", pa.binary())]))]))
+    assert next(out).num_rows < 20_000 and len(made) < 20_000
+    assert sum(b.num_rows for b in out) + 5_000 == 20_000
