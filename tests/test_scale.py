@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from topolith.operators import lines, polygons
+from topolith.operators import exact, lines, polygons
 from topolith.operators.transforms import boundary_segments
 from topolith.sources import readers, writers
 
@@ -70,3 +70,20 @@ def test_features_of_a_file_are_not_held_all_at_once():
     out = readers._parsed(Held(), parse)(iter([pa.RecordBatch.from_pylist([{"content": b"x"}], pa.schema([("content", pa.binary())]))]))
     assert next(out).num_rows < 20_000 and len(made) < 20_000
     assert sum(b.num_rows for b in out) + 5_000 == 20_000
+
+
+def test_lines_in_convex_polygons_are_decided_many_at_once(spark, monkeypatch):
+    """As the exact kernel decides them, and without it."""
+    diamond = [(3.0, 0.0), (6.0, 3.0), (3.0, 6.0), (0.0, 3.0), (3.0, 0.0)]
+    coords = [[(2, 2), (4, 4)], [(3, 0), (6, 3)], [(4, 1), (5, 2)], [(3, 3), (3, 3)], [(3, 0), (3, 0)], [(0, 3), (6, 3)], [(1, 2), (1, 5)], [(4, 1), (5, 2), (3, 3)]]
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    told = lambda c: [{"x": float(x), "y": float(y)} for x, y in c]
+    for ring in (diamond, diamond[::-1]):
+        inside, done = lines._in_convex(pa.array([told(c) for c in coords], kind), pa.array([[told(ring)]] * len(coords), pa.list_(kind)))
+        exactly = [exact.line_inside([exact.point(*map(float, p)) for p in c], exact.edges_of(exact.rings_of([told(ring)]))) for c in coords]
+        assert done.all() and inside.tolist() == exactly == [True, False, False, True, False, True, False, True]
+    # an L-shape, and numbers that doubles leave open, go to the exact kernel
+    ell = told([(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4), (0, 0)])
+    fine = told([(0.1, 0.1), (0.7, 0.1), (0.7, 0.7), (0.1, 0.1)])
+    _, done = lines._in_convex(pa.array([told([(1, 1), (3, 1)]), told([(0.3, 0.3), (0.4, 0.4)])], kind), pa.array([[ell], [fine]], pa.list_(kind)))
+    assert not done.any()

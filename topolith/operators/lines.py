@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -191,12 +192,32 @@ def _in_box(coords: Column, box: str) -> Column:
     return F.exists(steps, lambda s: ~along(s["p"], s["q"]))
 
 
+def _in_convex(coords: pa.Array, rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether polygons of one strictly convex ring contain their lines, and for which rows that is decided."""
+    inside, done = np.zeros(len(coords), bool), np.zeros(len(coords), bool)
+    of = rings.flatten() if rings.null_count else rings.values
+    start = np.asarray(rings.offsets)
+    single = (np.diff(start) == 1) & np.asarray(rings.is_valid()) & np.asarray(coords.is_valid())
+    if coords.null_count or rings.null_count or of.null_count or coords.values.null_count or of.values.null_count:
+        return inside, done
+    xy = [f for v in (coords.values, of.values) for f in (v.field("x"), v.field("y"))]
+    if any(f.null_count for f in xy) or not single.any():
+        return inside, done
+    x, y, rx, ry = (f.to_numpy(zero_copy_only=False) for f in xy)
+    first, edge = np.asarray(coords.offsets), np.asarray(of.offsets)
+    rows = np.flatnonzero(single)
+    ring = start[rows]
+    inside[rows], done[rows] = exact.in_convex(x, y, first[rows], np.diff(first)[rows], rx, ry, edge[ring], edge[ring + 1] - edge[ring])
+    return inside, done
+
+
 def must_be_inside(lines: DataFrame, polygons: DataFrame, cell: float | None = None) -> DataFrame:
     """Lines that no single polygon contains: ``fid, part, coords``.
 
     A contained line has no point outside and does not run on the boundary
     alone. Candidates are pairs in which the polygon's box holds the line's;
-    boxes are decided in columns, other polygons exactly, pair by pair.
+    boxes are decided in columns, strictly convex polygons many at once where
+    doubles leave no sign open, others exactly, pair by pair.
     """
     left = with_line_box(lines.where(F.size("coords") > 1).select("fid", "part", "coords"))
     right = with_ring_box(polygons.select("rings")).withColumn("box", is_box(F.col("rings")))
@@ -204,10 +225,12 @@ def must_be_inside(lines: DataFrame, polygons: DataFrame, cell: float | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inside = []
-            for coords, rings in zip(batch.column("a_coords").to_pylist(), batch.column("b_rings").to_pylist()):
+            inside, done = _in_convex(batch.column("a_coords"), batch.column("b_rings"))
+            left = np.flatnonzero(~done)
+            some = batch.select(["a_coords", "b_rings"]).take(pa.array(left))
+            for k, coords, rings in zip(left.tolist(), some.column("a_coords").to_pylist(), some.column("b_rings").to_pylist()):
                 edges = exact.edges_of(exact.rings_of(rings))
-                inside.append(exact.line_inside([exact.point(c["x"], c["y"]) for c in coords], edges))
+                inside[k] = exact.line_inside([exact.point(c["x"], c["y"]) for c in coords], edges)
             yield pa.RecordBatch.from_arrays([batch.column("a_fid"), batch.column("a_part"), pa.array(inside, pa.bool_())], ["fid", "part", "inside"])
 
     boxed = pairs.where(F.col("b_box") & _in_box(F.col("a_coords"), "b_")).select(F.col("a_fid").alias("fid"), F.col("a_part").alias("part"))
