@@ -87,3 +87,12 @@ def test_lines_in_convex_polygons_are_decided_many_at_once(spark, monkeypatch):
     fine = told([(0.1, 0.1), (0.7, 0.1), (0.7, 0.7), (0.1, 0.1)])
     _, done = lines._in_convex(pa.array([told([(1, 1), (3, 1)]), told([(0.3, 0.3), (0.4, 0.4)])], kind), pa.array([[ell], [fine]], pa.list_(kind)))
     assert not done.any()
+
+
+def test_robust_meetings_of_whole_numbers_take_one_join(spark):
+    whole = lines_of(spark, [(0, 0), (4, 4)], [(0, 4), (4, 0)], [(2, 2), (6, 6)])
+    fine = lines_of(spark, [(0.1, 0.1), (0.7, 0.7)], [(0.3, 0.3), (0.9, 0.2)])
+    for df, kernel in ((whole, False), (fine, True)):
+        found = lines.segment_meetings(lines.explode_lines(df), robust=True)
+        assert ("MapInArrow" in _plan(found)) == kernel
+    assert rows(lines.segment_meetings(lines.explode_lines(whole), robust=True), "kind", "x", "y") == [("collinear", 2.0, 2.0), ("improper", 2.0, 2.0), ("proper", 2.0, 2.0)]

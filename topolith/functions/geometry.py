@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,10 +38,15 @@ def orientation(ax, ay, bx, by, cx, cy) -> Column:
 
 
 def unsure(ax, ay, bx, by, cx, cy) -> Column:
-    """Whether rounding could have changed the sign of ``orientation``."""
+    """Whether rounding could have changed the sign of ``orientation``; it can't for whole numbers of 24 bits, see there."""
     left, right = (bx - ax) * (cy - ay), (by - ay) * (cx - ax)
     bound = (F.abs(left) + F.abs(right)) * F.lit(3.3306690738754716e-16)
-    return (F.abs(left - right) <= bound) & (bound > 0)
+    return (F.abs(left - right) <= bound) & (bound > 0) & ~whole(ax, ay, bx, by, cx, cy)
+
+
+def whole(*values: Column) -> Column:
+    """Whether all are whole numbers of 24 bits at most, whose differences, products and sums of two products are exact."""
+    return reduce(and_, [(F.abs(v) <= F.lit(float(1 << 24))) & (v == F.rint(v)) for v in values])
 
 
 def in_box(px, py, ax, ay, bx, by) -> Column:

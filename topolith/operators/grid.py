@@ -59,11 +59,14 @@ def _side() -> Column:
     return F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
 
 
-def measured(*sides: DataFrame) -> tuple[float, float]:
-    """The greatest mean and the greatest of the sides of the inputs' boxes, in one job."""
-    rows = [_known(df).agg(F.avg(_side()).alias("mean"), F.max(_side()).alias("most")) for df in sides]
+def measured(*sides: DataFrame | Column) -> tuple:
+    """The greatest mean and the greatest of the sides of the inputs' boxes, in one job; after the inputs further sums over them may be asked for."""
+    more = [c.alias(f"more_{k}") for k, c in enumerate(s for s in sides if isinstance(s, Column))]
+    frames = [s for s in sides if not isinstance(s, Column)]
+    rows = [_known(df).agg(F.avg(_side()).alias("mean"), F.max(_side()).alias("most"), *more) for df in frames]
     found = reduce(DataFrame.unionAll, rows).collect()
-    return max(float(r["mean"] or 0.0) for r in found), max(float(r["most"] or 0.0) for r in found)
+    sums = [sum(r[f"more_{k}"] or 0 for r in found) for k in range(len(more))]
+    return max(float(r["mean"] or 0.0) for r in found), max(float(r["most"] or 0.0) for r in found), *sums
 
 
 def _known(df: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import clean, is_box, orientation, segment_contains, unsure
+from ..functions.geometry import clean, is_box, orientation, segment_contains, unsure, whole
 from . import exact
-from .grid import grid_join, with_line_box, with_ring_box, with_segment_box
+from .grid import grid_join, measured, with_line_box, with_ring_box, with_segment_box
 from .materialize import stored
 from .transforms import dedup_segments, drop_empty_segments, endpoints, explode_lines, inner_points, pinned
 
@@ -83,11 +83,16 @@ def segment_meetings(segments: DataFrame, cell: float | None = None, robust: boo
 
     Signs come from doubles, which are exact for integers below 2^25. With
     ``robust``, pairs whose signs rounding leaves open are decided by exact
-    fractions, for which the join runs once more.
+    fractions, for which the join runs once more unless all coordinates are whole
+    numbers of 24 bits, which leave none open.
     """
     given = drop_empty_segments(dedup_segments(segments))
-    pairs = grid_join(with_segment_box(given), order=_ordered("a_", "b_"), cell=cell)
-    if not robust:
+    # measured before repeats go, which would take the exchange for that once more
+    boxed = with_segment_box(drop_empty_segments(segments))
+    every = whole(*(F.col(n) for n in _SEGMENT))
+    *sizes, left_open = measured(boxed, F.count_if(~every)) if robust else (*measured(boxed), 0)
+    pairs = grid_join(with_segment_box(given), order=_ordered("a_", "b_"), cell=cell, sizes=tuple(sizes))
+    if not left_open:
         return _classified(pairs)
     a, b = [F.col("a_" + n) for n in _SEGMENT], [F.col("b_" + n) for n in _SEGMENT]
     open_ = unsure(*a, b[0], b[1]) | unsure(*a, b[2], b[3]) | unsure(*b, a[0], a[1]) | unsure(*b, a[2], a[3])
@@ -111,9 +116,9 @@ def _decided(pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, pa.schema(fields))
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
-    # the work is in the kernel, not in the bytes by which partitions are merged
+    # the work is in the kernel, not in the bytes by which partitions are merged; dealt by values, as other dealing sorts all rows first
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.repartition(n).mapInArrow(run, f"{columns}, kind string, x double, y double, to_x double, to_y double")
+    return pairs.repartition(n, *["a_" + c for c in _SEGMENT], *["b_" + c for c in _SEGMENT]).mapInArrow(run, f"{columns}, kind string, x double, y double, to_x double, to_y double")
 
 
 def must_not_overlap(lines: DataFrame, cell: float | None = None) -> DataFrame:
